@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
+from .leakage import leaks, remove_leaks
+from .spans import shared_amount, shared_spans
+from .tokens import decode, encode
 from .topn import top_n
 
 
@@ -14,7 +17,48 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_n(once, "parent_asin", ["helpful_vote", "rating"], "review_id", 3, table(spark, folder, "reviews").count())
 
 
-QUERIES = {"p6_found": p6_found}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode(table(spark, folder, "documents"))
+
+
+def p7_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose decoded ids differ from their text: none."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    back = decode(encode(docs)).withColumnRenamed("text", "decoded")
+    return docs.na.fill("", ["text"]).join(back, "doc_id", "left").where("decoded is null or decoded <> text").select("doc_id")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share a passage of twelve words with an evaluation item."""
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of the documents that stay when every leaking one is removed."""
+    docs = table(spark, folder, "documents")
+    return remove_leaks(docs.select("doc_id"), leaks(docs, table(spark, folder, "eval_items")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Stretches of 300 characters and more that another document holds too."""
+    return shared_spans(table(spark, folder, "documents"))
+
+
+def p9_amount(spark: SparkSession, folder: str) -> DataFrame:
+    """Characters of every document, and how many of them stand elsewhere."""
+    docs = table(spark, folder, "documents")
+    return shared_amount(docs, shared_spans(docs))
+
+
+QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_amount": p9_amount}
+
+_P8 = """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+d AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda j: array_to_string(w[j:j + 11], ' '))) AS g FROM dw WHERE len(w) >= 12),
+i AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda j: array_to_string(w[j:j + 11], ' '))) AS g FROM iw WHERE len(w) >= 12)
+"""
 
 ORACLE = {
     "p6_found": """
@@ -22,4 +66,7 @@ SELECT parent_asin, place, review_id FROM (
   SELECT parent_asin, review_id, row_number() OVER (PARTITION BY parent_asin ORDER BY helpful_vote DESC NULLS LAST, rating DESC NULLS LAST, review_id) AS place
   FROM (SELECT DISTINCT review_id, parent_asin, rating, helpful_vote FROM reviews WHERE parent_asin IS NOT NULL))
 WHERE place <= 3""",
+    "p7_roundtrip": "SELECT doc_id FROM documents WHERE doc_id IS NULL AND doc_id IS NOT NULL",
+    "p8_found": _P8 + "SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+    "p8_clean": _P8 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN i USING (g))",
 }
