@@ -6,11 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
 from .leakage import leaks, remove_leaks
+from .neardup import near_duplicates
 from .spans import shared_amount, shared_spans
 from .tokens import decode, encode
 from .topn import top_n
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of reviews whose words are similar to 0.7 and more."""
+    return near_duplicates(table(spark, folder, "reviews"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Three leading reviews of every product."""
     once = table(spark, folder, "reviews").select("review_id", "parent_asin", "rating", "helpful_vote").where("parent_asin is not null and review_id is not null").distinct()
@@ -51,7 +57,7 @@ def p9_amount(spark: SparkSession, folder: str) -> DataFrame:
     return shared_amount(docs, shared_spans(docs))
 
 
-QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_amount": p9_amount}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_amount": p9_amount}
 
 _P8 = """
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
