@@ -7,11 +7,22 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .leakage import leaks, remove_leaks
 from .neardup import near_duplicates
+from .products import product_pairs, same_product
 from .spans import shared_amount, shared_spans
 from .tokens import decode, encode
 from .topn import top_n
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of listings of the same product."""
+    return product_pairs(same_product(table(spark, folder, "metadata")))
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of listings of every product that has several, by class."""
+    return same_product(table(spark, folder, "metadata")).groupBy("product").count().where("count > 1")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of reviews whose words are similar to 0.7 and more."""
     return near_duplicates(table(spark, folder, "reviews"))
@@ -57,7 +68,7 @@ def p9_amount(spark: SparkSession, folder: str) -> DataFrame:
     return shared_amount(docs, shared_spans(docs))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_amount": p9_amount}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_amount": p9_amount}
 
 _P8 = """
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
