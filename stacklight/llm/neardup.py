@@ -27,7 +27,7 @@ class Settings:
     rows: int = 5
     #: A candidate is dropped once its chance of reaching the similarity falls below this.
     miss: float = 1e-4
-    #: Signature bits compared at a time, of 64.
+    #: Signature bits compared at a time, of 116.
     batch_bits: int = 16
     #: Records of one bucket that a task compares at once; larger buckets are tiled over tasks.
     tile: int = 512
@@ -35,7 +35,8 @@ class Settings:
     filter_bits: int = 1 << 25
 
 
-SKETCH = 64
+#: Sketch bits in the first and in the second long of a row; the rest of the second is the word count.
+FIRST, SECOND, COUNT_BITS = 64, 52, 12
 #: Records handled at once in a task.
 CHUNK = 256
 
@@ -75,9 +76,9 @@ def _words(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(bodies: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(record number, word count, 64-bit sketch, band keys) of the records with enough words.
+    """(record number, sketch, rest of the sketch and word count, band keys) of the records with enough words.
 
-    The sketch holds one bit of each of 64 min-hashes over the words counted with repetition
+    The sketch holds one bit of each of 116 min-hashes over the words counted with repetition
     (the n-th occurrence of a word is an element of its own), so two sketches agree in a bit
     with probability (1 + similarity) / 2. Band keys come from word pairs, which chance
     shares far less than words.
@@ -99,9 +100,11 @@ def signatures(bodies: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray,
     run = np.flatnonzero(new)
     nth = np.arange(len(sw)) - np.repeat(run, np.diff(np.append(run, len(sw))))
     tokens = mix(sw + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    least = _minhash(tokens >> np.uint64(32), heads, SKETCH, 1)
+    least = _minhash(tokens >> np.uint64(32), heads, FIRST + SECOND, 1)
     bits = (least * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint64)
-    sketch = (bits << np.arange(SKETCH, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    sketch = (bits[:, :FIRST] << np.arange(FIRST, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    more = (bits[:, FIRST:] << np.arange(COUNT_BITS, 64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    more |= np.minimum(count[records], (1 << COUNT_BITS) - 1).astype(np.uint64)
     pairs = mix(words[:-1] * np.uint64(3) + words[1:])
     within = which[:-1] == which[1:]
     pw, pairs = which[:-1][within], pairs[within]
@@ -110,7 +113,7 @@ def signatures(bodies: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray,
     keys = np.arange(s.bands, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)
     for r in range(s.rows):
         keys = mix(keys ^ mins[:, :, r]) + mins[:, :, r]
-    return records, count[records], sketch.view(np.int64), mix(keys).view(np.int64)
+    return records, sketch.view(np.int64), more.view(np.int64), mix(keys).view(np.int64)
 
 
 @lru_cache(maxsize=8)
@@ -130,15 +133,27 @@ def least_matches(similarity: float, miss: float, bits: int) -> int:
     return bits
 
 
-def survivors(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, s: Settings) -> np.ndarray:
-    """Positions of the pairs that word counts and, batch by batch, the sketches don't rule out."""
+def survivors(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, s: Settings) -> np.ndarray:
+    """Positions of the pairs that word counts and, batch by batch, the sketches don't rule out.
+
+    x and y are the first longs of both sides, mx and my the second ones. Counts are capped
+    at 4095, which never rules out a pair that the true counts allow.
+    """
+    cap = np.uint64((1 << COUNT_BITS) - 1)
+    nx, ny = (mx & cap).astype(np.int64), (my & cap).astype(np.int64)
     lo, hi = np.minimum(nx, ny), np.maximum(nx, ny)
     at = np.flatnonzero(lo >= s.similarity * hi)  # the similarity can't exceed lo / hi
     differ = x[at] ^ y[at]
-    for bits in range(s.batch_bits, SKETCH + 1, s.batch_bits):
+    for bits in range(s.batch_bits, FIRST + 1, s.batch_bits):
         mask = np.uint64((1 << bits) - 1)
         ok = bits - np.bitwise_count(differ & mask) >= least_matches(s.similarity, s.miss, bits)
         at, differ = at[ok], differ[ok]
+    known = FIRST - np.bitwise_count(differ).astype(np.int64)
+    more = (mx[at] ^ my[at]) >> np.uint64(COUNT_BITS)
+    for bits in [*range(s.batch_bits, SECOND, s.batch_bits), SECOND]:
+        mask = np.uint64((1 << bits) - 1)
+        ok = known + bits - np.bitwise_count(more & mask) >= least_matches(s.similarity, s.miss, FIRST + bits)
+        at, more, known = at[ok], more[ok], known[ok]
     return at
 
 
@@ -158,14 +173,14 @@ def _band_rows(s: Settings):
                     fresh.append(i)
             for a in range(0, len(fresh), CHUNK):
                 part = fresh[a : a + CHUNK]
-                records, count, sketch, keys = signatures([bodies[i] for i in part], s)
+                records, sketch, more, keys = signatures([bodies[i] for i in part], s)
                 own = np.array([ids[i] for i in part], np.int64)[records]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, s.bands)), pa.array(np.repeat(sketch, s.bands)), pa.array(np.repeat(count, s.bands).astype(np.int32))], ["key", "id", "sketch", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, s.bands)), pa.array(np.repeat(sketch, s.bands)), pa.array(np.repeat(more, s.bands))], ["key", "id", "sketch", "more"])
 
     return run
 
 
-_BUCKET = "a long, b long, key long, sketch long, n int, chunk int"
+_BUCKET = "a long, b long, key long, sketch long, more long, chunk int"
 
 
 def _bucket_pairs(s: Settings):
@@ -178,8 +193,8 @@ def _bucket_pairs(s: Settings):
     def emit(a, b, key=None, sketch=None, n=None, chunk=None):
         m = len(a)
         null = lambda kind: pa.nulls(m, kind)
-        cols = [pa.array(a), pa.array(b) if b is not None else null(pa.int64()), pa.array(key) if key is not None else null(pa.int64()), pa.array(sketch) if key is not None else null(pa.int64()), pa.array(n) if key is not None else null(pa.int32()), pa.array(chunk) if key is not None else null(pa.int32())]
-        return pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "sketch", "n", "chunk"])
+        cols = [pa.array(a), pa.array(b) if b is not None else null(pa.int64()), pa.array(key) if key is not None else null(pa.int64()), pa.array(sketch) if key is not None else null(pa.int64()), pa.array(n) if key is not None else null(pa.int64()), pa.array(chunk) if key is not None else null(pa.int32())]
+        return pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "sketch", "more", "chunk"])
 
     def work(key, ids, sketch, n):
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -192,7 +207,7 @@ def _bucket_pairs(s: Settings):
             if not len(at):
                 break
             at = at[ids[at] != ids[at + d]]
-            got = at[survivors(sketch[at].view(np.uint64), sketch[at + d].view(np.uint64), n[at], n[at + d], s)]
+            got = at[survivors(sketch[at].view(np.uint64), sketch[at + d].view(np.uint64), n[at].view(np.uint64), n[at + d].view(np.uint64), s)]
             out_a.append(ids[got])
             out_b.append(ids[got + d])
             d += 1
@@ -255,7 +270,7 @@ def _tile_pairs(s: Settings):
         out = [np.zeros((2, 0), np.int64)]
         for i in left:
             to = right[ids[right] > ids[i]] if p[0] == q[0] else right[ids[right] != ids[i]]
-            got = to[survivors(np.full(len(to), sketch[i]).view(np.uint64), sketch[to].view(np.uint64), np.full(len(to), n[i]), n[to], s)]
+            got = to[survivors(np.full(len(to), sketch[i]).view(np.uint64), sketch[to].view(np.uint64), np.full(len(to), n[i]).view(np.uint64), n[to].view(np.uint64), s)]
             out.append(np.stack([np.minimum(ids[i], ids[got]), np.maximum(ids[i], ids[got])]))
         both = np.unique(np.concatenate(out, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -276,15 +291,15 @@ def _tile_pairs(s: Settings):
 
 def candidates(records: DataFrame, s: Settings) -> DataFrame:
     """(a, b), a < b: distinct candidate pairs of record ids. records: (id long, body string)."""
-    rows = records.mapInArrow(_band_rows(s), "key long, id long, sketch long, n int")
-    found = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(s), _BUCKET).groupBy("a", "b", "key", "sketch", "n", "chunk").agg(F.count(F.lit(1)).alias("c")).drop("c"))
-    big = found.where("key is not null").select("key", "a", "sketch", "n", "chunk")
+    rows = records.mapInArrow(_band_rows(s), "key long, id long, sketch long, more long")
+    found = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(s), _BUCKET).groupBy("a", "b", "key", "sketch", "more", "chunk").agg(F.count(F.lit(1)).alias("c")).drop("c"))
+    big = found.where("key is not null").select("key", "a", "sketch", "more", "chunk")
     last = big.groupBy("key").agg(F.max("chunk").alias("last"))
     # every member meets all chunks of its bucket: tile (p, q) has at most 2 * tile rows
     tiles = (
         big.join(last, "key")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .select("key", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "a", "sketch", "n")
+        .select("key", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "a", "sketch", "more")
         .repartition("key", "p", "q")
         .sortWithinPartitions("key", "p", "q")
     )
