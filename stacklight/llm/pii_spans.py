@@ -29,7 +29,7 @@ _EMAILS = [
 _D = r"[-.‐-― ]"
 _PHONES = [
     re.compile(rf"(?<![\w+])\+\d{{1,3}}{_D}?(?:\(0\) ?)?(?:\(?\d{{1,5}}\)?{_D}?){{1,5}}\d{{2,4}}(?!\w)"),
-    re.compile(rf"(?<![\w+(/.-])(?:1{_D})?\(\d{{2,5}}\) ?\d{{3,4}}{_D}?\d{{3,4}}(?!\w)"),
+    re.compile(rf"(?<![\w+/.-])(?:1{_D})?\(\d{{2,5}}\) ?\d{{3,4}}{_D}?\d{{3,4}}(?!\w)"),
     re.compile(rf"(?<![\w+/.-])(?:1{_D})?\d{{3}}{_D}\d{{3}}{_D}\d{{4}}(?![\w/])"),
     re.compile(r"(?<![\w+/.-])0\d{2,4} \d{3,4} \d{3,4}(?![\w/])|(?<![\w+/.-])0\d(?: \d\d){4}(?![\w/])"),
     re.compile(r"(?<![\w+/.-])\d{10,11}(?![\w/.-])"),
@@ -50,8 +50,8 @@ _IDS = [
 _W = r"[^\W\d_][\w'’-]*"
 _TOWN = rf"(?:(?:{PLACE_PARTS})[ ]+)?{_W}(?:[ ]+{_W})?"
 _CODE = r"(?:[A-Z]{2},? )?\d{4,5}|[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}"
-_STREET = rf"\d{{1,5}}[A-Za-z]?,?[ ]+(?:{_W}[ ]+){{1,3}}?(?:{STREETS})\b\.?"
-_APT = r"(?:,[ ]*(?:apt|apartment|unit|suite|ste|flat|no|#)\.?[ ]*#?\w{1,5})?"
+_STREET = rf"\d{{1,5}}[A-Za-z]?,?[ ]+(?:{_W}[ ]+){{1,3}}?(?:st\b\.?|(?:{STREETS})\b)"
+_APT = r"(?:,[ ]*(?:apt|apartment|unit|suite|ste|flat|no|#)\.?[ ]*#?\d\w{0,4})?"
 _ADDRESSES = [
     re.compile(rf"(?<![\w-])(?:(?:flat|apt|unit|apartment|suite)\.?[ ]+\w{{1,4}},?[ ]+)?{_STREET}{_APT}", re.I),
     re.compile(rf"(?<![\w-])(?:rue|via|calle|rua|avenue|place)[ ]+(?:{_W}[ ]+){{1,2}}?\d{{1,4}}(?!\w)", re.I),
@@ -91,10 +91,14 @@ ORDINARY = frozenset(
     "write want mine contact mail mailto goes number text reach works soon perfect perfekt tres joli bonito comodo muy buena calidad lo recomiendo passt gefallen leider "
     "klein ausgefallen sehr gut schlecht stars star runs does job disappointed itchy cute wrong dress shirt coat jacket jeans pants shoes boots hat scarf gloves socks "
     "sweater hoodie skirt shorts blouse tunic romper parka poncho cardigan blazer jumper kimono pullover wedding party office school winter summer spring autumn monday "
-    "tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december mr mrs ms dr miss sir".split()
+    "social security national insurance driving licence license passport tax flat apt apartment unit suite rue via calle tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december mr mrs ms dr miss sir".split()
 )
 
 
+# Particles that belong to the family name after them.
+_PARTICLES = frozenset("von van der den de del della di da dos du la le ten ter zu zur bin ibn al".split())
+
+
 class Words:
     """Which words are ordinary: the fixed ones and those that many records of the collection use."""
 
@@ -113,14 +117,16 @@ def _address_ends(text: str, end: int, first: int, words: Words) -> list[int]:
     else:
         m = re.compile(r"(,[ ]*|[ ]*\n[ ]*|[ ]+)").match(text, end)
         at, need = (m.end(), False) if m else (end, False)
-    town, count = at, 0
+    town, count, after_part = at, 0, False
     title = text[first:end] != text[first:end].lower()
     while at > end and count < 3 and (t := _TOKEN.match(text, town if count == 0 else town + 1)):
         if count and text[town] != " ":
             break
         part = bool(_PLACE_PART.match(t[0]))
-        if not (words.rare(t[0]) or part) or (title and not t[0][0].isupper()):
+        known = t[0].lower() in (ORDINARY if title or after_part else words.ordinary)
+        if known and not part or title and not t[0][0].isupper() or text[t.end() : t.end() + 1].isdigit():
             break
+        after_part = part
         town, count = t.end(), count + 1
         if text[town : town + 1] != " ":
             break
@@ -138,9 +144,20 @@ def names(text: str, words: Words) -> list[Span]:
     out: list[Span] = []
     if set(_TOKEN.findall(text.lower())) <= words.ordinary:
         return out
-    tokens = [(*m.span(), m[0]) for m in _TOKEN.finditer(text)]
     ordinary = words.ordinary
-    kinds = ["" if w.lower() in ordinary and len(w) > 1 else "w" if len(w) > 1 else "i" if text[e : e + 1] == "." else "" for _, e, w in tokens]
+    tokens, kinds = [], []
+    particle = -1  # start of the particles before the next word
+    for m in _TOKEN.finditer(text):
+        (a, e), w = m.span(), m[0]
+        low = w.lower()
+        if low in _PARTICLES and text[e : e + 1] == " ":
+            particle = a if particle < 0 else particle
+            continue
+        beside_digit = text[e : e + 1].isdigit() or text[a - 1 : a].isdigit()
+        kind = "" if beside_digit else "i" if len(w) == 1 and text[e : e + 1] == "." else "w" if len(w) > 1 and low not in ordinary else ""
+        tokens.append((particle if particle >= 0 and kind == "w" else a, e, w))
+        kinds.append(kind)
+        particle = -1
     n = len(tokens)
     for i in range(n - 1):
         if not kinds[i]:
@@ -190,10 +207,13 @@ _HINTS = [[f" {w}" for w in STREETS.split("|")], ["rue ", "via ", "calle ", "rua
 _BEFORE = re.compile(r"[\w']+")
 
 
+_BREAK = re.compile(r"(?<!\bno)(?<!\b\w)[.!?…][\s\xa0]+|\n|<br ?/?>|…")
+
+
 def features(text: str, span: Span, others: list[Span], words: Words) -> list[float]:
     """Format and context of one candidate."""
     body = text[span.start : span.end]
-    left = text[max(0, span.start - 48) : span.start].lower()
+    left = _BREAK.split(text[max(0, span.start - 60) : span.start].lower())[-1]
     right = text[span.end : span.end + 24].lower()
     before = _BEFORE.findall(left)[-4:]
     after = _BEFORE.findall(right)[:2]
@@ -218,7 +238,7 @@ def features(text: str, span: Span, others: list[Span], words: Words) -> list[fl
         *[float(bool(near & c)) for c in _CUES.values()],
         *[float(last in c) for c in _CUES.values()],
         float(bool(after) and after[0] in _AFTER), float(any(w in _CUES["other"] for w in before[-2:])),
-        float(left[-1:] in "(<:-"), float(left[-1:] in "\n." or left[-2:-1] in "\n.!?" or not left), float(right[:1] in ")>.,!;\n" or not right), float(right[:2] == " -" or right[:2] == " \n"),
+        float(left[-1:] in "(<:-"), float(not left.strip()), float(right[:1] in ")>.,!;\n" or not right), float(right[:2] == " -" or right[:2] == " \n"),
         float(longer), float(inside), float(same_start), float(sum(words.rare(t) for t in tokens)), float(sum(len(t) == 1 for t in tokens)),
         float(bool(re.search(r"\d{4}-\d\d-\d\d", body))), float(last in ("the", "a", "an", "this")),
     ]

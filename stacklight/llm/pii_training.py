@@ -75,6 +75,8 @@ class _Maker:
             family += "-" + self.word()
         if self.g.random() < 0.05:
             family = "O'" + family
+        if self.g.random() < 0.08:
+            family = self.pick(["von ", "de la ", "van der ", "de "]) + family
         initial = chr(65 + int(self.g.integers(26))) + "."
         gap = "  " if self.g.random() < 0.1 else " "
         kind = self.g.random()
@@ -90,7 +92,7 @@ class _Maker:
         return self.pick([
             f"({a}) {b}-{c}", f"({a}){b} {c}", f"{a}{dash}{b}{dash}{c}", f"1-{a}-{b}-{c}", f"+1 {a} {b} {c}", f"{a}{b}{c}", f"{b}-{c}", f"{b}-{c}", f"+44 (0)7{self.digits(3)} {self.digits(6)}", f"020 {self.digits(4)} {self.digits(4)}",
             "0" + " ".join([self.digits(1)] + [self.digits(2, "0123456789") for _ in range(4)]), f"+61-{self.digits(1)}-{self.digits(4)}-{self.digits(4)}", f"+49 {self.digits(2)} {self.digits(5)} {self.digits(3)}",
-            " ".join(words[int(d)] for d in b + c),
+            " ".join(words[int(d)] for d in b + c), f"{a}{b}{c}",
         ])
 
     def ident(self) -> tuple[str, str]:

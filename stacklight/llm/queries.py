@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import table
 from .leakage import leaks, remove_leaks
 from .neardup import near_duplicates
+from .pii import personal_information, redact
 from .products import product_pairs, same_product
 from .spans import shared_amount, shared_spans
 from .tokens import decode, encode
@@ -28,6 +29,19 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "reviews"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal information in review texts."""
+    found = personal_information(table(spark, folder, "reviews").where("review_id is not null"))
+    return found.select("review_id", "pii_kind", "pii_text").distinct()
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Review texts with placeholders, where something was replaced."""
+    reviews = table(spark, folder, "reviews").where("review_id is not null").select("review_id", "text")
+    done = redact(reviews).where("redacted rlike '\\\\[(EMAIL|PHONE|ID_NUMBER|ADDRESS|NAME)\\\\]'")
+    return done.distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Three leading reviews of every product."""
     once = table(spark, folder, "reviews").select("review_id", "parent_asin", "rating", "helpful_vote").where("parent_asin is not null and review_id is not null").distinct()
@@ -68,7 +82,7 @@ def p9_amount(spark: SparkSession, folder: str) -> DataFrame:
     return shared_amount(docs, shared_spans(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_amount": p9_amount}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_amount": p9_amount}
 
 _P8 = """
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
