@@ -333,8 +333,8 @@ def _search_sql(plan, text: str, all_at_once: bool, top_k: int) -> str:
     swap = {"": text} | {g: _first_swap(text, n) for g, n in vocab.GROUP_NOUNS.items()}
     score = "CASE " + " ".join(f"WHEN grp = {S.text(g or '')} THEN {_word_score(list(dict.fromkeys(swap[g or ''].lower().split())), _CANDIDATE)}" for g in groups) + " END"
     return f"""WITH {S.relaxed(plan, QUERY, all_at_once)}, about(sq_id, pool, grp, grp_no) AS (VALUES {about}),
-some AS (SELECT relaxed.*, pool, grp, grp_no, row_number() OVER (PARTITION BY sq_id ORDER BY rank) AS dense FROM relaxed JOIN about USING (sq_id) WHERE grp <> 'accessories' OR {S.accessory('category', 'title')} QUALIFY dense <= {share}),
-scored AS (SELECT *, {score} AS rerank FROM some),
+few AS (SELECT relaxed.*, pool, grp, grp_no, row_number() OVER (PARTITION BY sq_id ORDER BY rank) AS dense FROM relaxed JOIN about USING (sq_id) WHERE grp <> 'accessories' OR {S.accessory('category', 'title')} QUALIFY dense <= {share}),
+scored AS (SELECT *, {score} AS rerank FROM few),
 placed AS (SELECT *, row_number() OVER (PARTITION BY sq_id ORDER BY rerank DESC, dense) AS place FROM scored),
 h1 AS (SELECT *, max(CASE WHEN place = 1 THEN rerank END) OVER (PARTITION BY sq_id) AS h FROM placed),
 t1 AS (SELECT *, dense_rank() OVER (PARTITION BY grp ORDER BY h DESC, sq_id) AS t FROM h1),
