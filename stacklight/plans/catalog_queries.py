@@ -261,7 +261,7 @@ def text_embedding(spark, folder):
 
 # --- retrieval ---------------------------------------------------------------
 
-_SOFT = Filters(gender="women", color="beige", style="casual", size="s", min_rating=4.0, sentiment="positive")
+_SOFT = Filters(gender="kids", color="beige", style="casual", size="s", min_rating=4.0, sentiment="positive")
 _OUTFIT = Filters(style="casual", color="black")
 
 
@@ -343,7 +343,7 @@ g1 AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY place, t) AS in_gr
 h2 AS (SELECT *, max(CASE WHEN in_group = 1 THEN rerank END) OVER (PARTITION BY grp) AS hh FROM g1),
 t2 AS (SELECT *, dense_rank() OVER (ORDER BY hh DESC, grp_no) AS tt FROM h2),
 o2 AS (SELECT * FROM t2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY in_group, tt) = 1)
-SELECT id, row_number() OVER (ORDER BY in_group, tt) AS rank, grp AS "group", pool, score, rerank FROM o2 QUALIFY rank <= least({top_k}, (SELECT count(*) FROM placed))"""
+SELECT id, position AS rank, grp AS "group", pool, score, rerank FROM (SELECT *, row_number() OVER (ORDER BY in_group, tt) AS position FROM o2) WHERE position <= least({top_k}, (SELECT count(*) FROM placed))"""
 
 
 def _first_swap(text: str, noun: str) -> str:
@@ -353,7 +353,7 @@ def _first_swap(text: str, noun: str) -> str:
     return out if n else f"{text} {noun}"
 
 
-_SEARCH_TEXT, _OUTFIT_TEXT = "casual beige piece for women", "an outfit for a wedding"
+_SEARCH_TEXT, _OUTFIT_TEXT = "casual beige piece for kids", "an outfit for a wedding"
 
 
 @query(_search_sql(subqueries(_SOFT), _SEARCH_TEXT, False, 36))
@@ -461,7 +461,7 @@ def merge_sources(spark, folder):
     return told.select(*out)
 
 
-@query("SELECT * FROM (VALUES (0, 'color', 'beige'), (0, 'gender', 'women'), (0, 'min_rating', '4.0'), (0, 'sentiment', 'positive'), (0, 'size', 's'), (0, 'style', 'casual'), (3, 'color', 'beige'), (3, 'gender', 'women'), (3, 'size', 's')) t(level, name, value)")
+@query("SELECT * FROM (VALUES (0, 'color', 'beige'), (0, 'gender', 'kids'), (0, 'min_rating', '4.0'), (0, 'sentiment', 'positive'), (0, 'size', 's'), (0, 'style', 'casual'), (3, 'color', 'beige'), (3, 'gender', 'kids'), (3, 'size', 's')) t(level, name, value)")
 def applied_filters(spark, folder):
     """Filters shown after giving up none and three of the soft ones."""
     rows = [(level, n, str(v)) for level in (0, 3) for n, v in _SOFT.after(level, False).applied().items()]
