@@ -36,17 +36,19 @@ def top_n(df: DataFrame, group: str, scores: list[str], tie: str, n: int, total_
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    rows = df.where(F.col(group).isNotNull()).select(F.col(group), *[F.when(~F.isnan(F.col(s).cast("double")), F.col(s)).alias(s) for s in scores], F.col(tie))
-    binned = rows.withColumn("__bin", score_bin(F.col(scores[0])))
-    bins = binned.groupBy(group, "__bin").agg(F.count(F.lit(1)).alias("c"))
+    names = [f"__s{i}" for i in range(len(scores))]
+    plain = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c))
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("__g"), *[plain(s).alias(a) for s, a in zip(scores, names)], F.col(tie).alias("__t"))
+    binned = rows.withColumn("__bin", score_bin(F.col(names[0])))
+    bins = binned.groupBy("__g", "__bin").agg(F.count(F.lit(1)).alias("c"))
     total = total_hint if total_hint is not None else df.count()
     light = max(LIGHT_ROWS, int(total * LIGHT_SHARE))
-    by_group = Window.partitionBy(group)
+    by_group = Window.partitionBy("__g")
     above = by_group.orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     large = bins.withColumn("size", F.sum("c").over(by_group)).where(F.col("size") > light).withColumn("above", F.sum("c").over(above))
     # at most total / light rows, that is at most 1 / LIGHT_SHARE, whatever the size of the table
-    floors = large.where(F.col("above") >= n).groupBy(group).agg(F.max("__bin").alias("__floor"))
-    kept = binned.join(F.broadcast(floors), group, "left").where(F.col("__floor").isNull() | (F.col("__bin") >= F.col("__floor")))
-    order = [F.desc_nulls_last(s) for s in scores] + [F.asc(tie)]
-    ranked = kept.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.where(F.col("place") <= n).select(group, F.col("place").cast("long").alias("place"), tie)
+    floors = large.where(F.col("above") >= n).groupBy("__g").agg(F.max("__bin").alias("__floor"))
+    kept = binned.join(F.broadcast(floors), "__g", "left").where(F.col("__floor").isNull() | (F.col("__bin") >= F.col("__floor")))
+    order = [F.desc_nulls_last(s) for s in names] + [F.asc("__t")]
+    ranked = kept.withColumn("__place", F.row_number().over(Window.partitionBy("__g").orderBy(*order)))
+    return ranked.where(F.col("__place") <= n).select(F.col("__g").alias(group), F.col("__place").cast("long").alias("place"), F.col("__t").alias(tie))
