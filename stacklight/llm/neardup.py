@@ -23,7 +23,7 @@ class Settings:
     similarity: float = 0.7
     least_words: int = 30
     #: Bands of ``rows`` min-hashes each over the record's neighbouring word pairs.
-    bands: int = 36
+    bands: int = 44
     rows: int = 5
     #: A candidate is dropped once its chance of reaching the similarity falls below this.
     miss: float = 1e-4
