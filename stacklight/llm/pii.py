@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from .boosting import Boosted
-from .pii_spans import KINDS, Span, Words, features, propose
+from .pii_spans import KINDS, Span, Words, around, features, propose
 from .pii_training import labelled
 
 #: Generated texts the classifier is trained on (about six candidates each); the bound of its sample.
@@ -55,18 +56,21 @@ def train(n_texts: int = TRAINING_TEXTS, seed: int = 11) -> Model:
 def select(spans: list[Span], probability: np.ndarray, thresholds: tuple[float, ...]) -> list[tuple[Span, float]]:
     """Of the candidates over their threshold, the surest first and no two that overlap; the longer on ties."""
     order = sorted(range(len(spans)), key=lambda i: (-round(float(probability[i]), 2), -(spans[i].end - spans[i].start), spans[i].start))
-    chosen: list[tuple[Span, float]] = []
+    chosen: list[tuple[int, int, int]] = []  # (start, end, number), sorted and free of overlaps
     for i in order:
         s = spans[i]
-        if probability[i] >= thresholds[KINDS.index(s.kind)] and all(s.end <= c.start or s.start >= c.end for c, _ in chosen):
-            chosen.append((s, float(probability[i])))
-    return sorted(chosen)
+        if probability[i] < thresholds[KINDS.index(s.kind)]:
+            continue
+        at = bisect_left(chosen, (s.start, s.end, -1))
+        if (at == 0 or chosen[at - 1][1] <= s.start) and (at == len(chosen) or chosen[at][0] >= s.end):
+            chosen.insert(at, (s.start, s.end, i))
+    return [(spans[i], float(probability[i])) for _, _, i in chosen]
 
 
 def find_in(texts: list[str | None], words: Words, model: Model) -> list[list[tuple[Span, float]]]:
     """Chosen spans of every text; the candidates of all texts are scored at once."""
     proposed = [propose(t, words) if t else [] for t in texts]
-    rows = [features(t, s, spans, words) for t, spans in zip(texts, proposed) for s in spans]
+    rows = [features(t, s, near, words) for t, spans in zip(texts, proposed) for s, near in zip(spans, around(spans))]
     p = model.trees.probability(np.array(rows)) if rows else np.zeros(0)
     out, at = [], 0
     for spans in proposed:

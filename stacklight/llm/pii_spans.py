@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 KINDS = ["email", "phone", "id_number", "address", "name"]
@@ -207,6 +208,22 @@ _HINTS = [[f" {w}" for w in STREETS.split("|")], ["rue ", "via ", "calle ", "rua
 _BEFORE = re.compile(r"[\w']+")
 
 
+#: Spans beyond this length are looked at from everywhere; there can't be many.
+_LONG = 400
+
+
+def around(spans: list[Span]) -> list[list[Span]]:
+    """For every span the others that may hold it: those that start shortly before or where it starts."""
+    order = sorted(range(len(spans)), key=lambda i: spans[i].start)
+    starts = [spans[i].start for i in order]
+    long = [s for s in spans if s.end - s.start > _LONG]
+    out = []
+    for s in spans:
+        a, b = bisect_left(starts, s.start - _LONG), bisect_right(starts, s.start)
+        out.append([o for o in (spans[i] for i in order[a:b]) if s.end <= o.end <= o.start + _LONG] + long)
+    return out
+
+
 _BREAK = re.compile(r"(?<!\bno)(?<!\b\w)[.!?…][\s\xa0]+|\n|<br ?/?>|…")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .pii_spans import DIGIT_WORDS, Span, Words, features, propose
+from .pii_spans import DIGIT_WORDS, Span, Words, around, features, propose
 
 # Building blocks of invented names and places, and sentence frames.
 _HEADS = "mar bel tor ran sel vik dor lin har kas ber fen gal hol jor kel lam mor nor pel quin ros stan tam ulf ver wes yor zan al ed os ir".split()
@@ -171,8 +171,8 @@ def labelled(n_texts: int, seed: int, common: frozenset[str]) -> tuple[np.ndarra
     for _ in range(n_texts):
         text, true = maker.text()
         spans = propose(text, words)
-        for s in spans:
-            x.append(features(text, s, spans, words))
+        for s, near in zip(spans, around(spans)):
+            x.append(features(text, s, near, words))
             y.append(float((s.kind, s.start, s.end) in true))
             kinds.append(KINDS.index(s.kind))
     return np.array(x), np.array(y), np.array(kinds)

@@ -18,8 +18,8 @@ def score_bin(score: Column) -> Column:
     Null and NaN have the lowest bin.
     """
     size = lambda x: F.floor(2 * F.log2(1 + x)).cast("int") + 1
-    real = score.cast("double")
-    return F.when(score.isNull() | F.isnan(real), F.lit(-10000)).when(real >= 0, size(real)).otherwise(-size(-real))
+    real = F.least(F.greatest(score.cast("double"), F.lit(-1e300)), F.lit(1e300))  # infinite scores get the outermost bins
+    return F.when(score.isNull() | F.isnan(score.cast("double")), F.lit(-10000)).when(real >= 0, size(real)).otherwise(-size(-real))
 
 
 def top_n(df: DataFrame, group: str, scores: list[str], tie: str, n: int, total_hint: int | None = None) -> DataFrame:

@@ -43,7 +43,7 @@ CASES = [
 
 
 def test_found_and_redacted(spark):
-    rows = [(k, t) for k, t, _ in CASES] + [(None, "mail a.bell@post.example"), (9, "plain words " * 20000 + "contact imke.dorn@post.example")]
+    rows = [(k, t) for k, t, _ in CASES] + [(None, "mail a.bell@post.example"), (9, "plain words " * 3000 + "contact imke.dorn@post.example")]
     df = spark.createDataFrame(rows, "review_id long, text string").withColumn("pii_kind", F.lit("x"))
     got = {}
     for r in pii.personal_information(df, n_texts=TEXTS).collect():
@@ -57,6 +57,6 @@ def test_found_and_redacted(spark):
 
 
 def test_ordinary_words_count_all_texts(spark):
-    df = spark.createDataFrame([(f"common rare{i}",) for i in range(40)] + [(None,)], "text string")
+    df = spark.createDataFrame([(f"common rare{chr(97 + i % 26)}{chr(97 + i // 26)}",) for i in range(40)] + [(None,)], "text string")
     assert pii.ordinary_words(df, "text") == frozenset({"common"})
     assert Words(frozenset({"common"})).rare("Rareness") and not Words(frozenset({"common"})).rare("Common")
