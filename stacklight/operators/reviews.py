@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import reviews as R
+from ..session import spread
 
 #: No product keeps more reviews than this per bucket, whatever its count.
 MOST = 3
@@ -18,7 +19,8 @@ def scored(reviews: DataFrame) -> DataFrame:
     The text is read for the score and left behind before anything is shuffled.
     """
     ts = F.col("ts") if "ts" in reviews.columns else F.unix_millis("timestamp")
-    return reviews.where("review_id is not null").select(
+    used = ["review_id", "parent_asin", "rating", "text", "helpful_vote", "verified_purchase", "ts" if "ts" in reviews.columns else "timestamp"]
+    return spread(reviews.where("review_id is not null").select(*used)).select(
         "review_id",
         "parent_asin",
         "rating",
@@ -33,15 +35,21 @@ def counts(rows: DataFrame) -> DataFrame:
     return rows.where("parent_asin is not null").groupBy("parent_asin").agg(F.count("rating").alias("n_rated")).withColumn("keep", R.keep_per_bucket(F.col("n_rated")).cast("int"))
 
 
-def top_reviews(rows: DataFrame) -> DataFrame:
+def rated(reviews: DataFrame) -> DataFrame:
+    """What counts() needs of raw reviews, each once; the text stays unread."""
+    return reviews.where("review_id is not null").select("review_id", "parent_asin", "rating").distinct()
+
+
+def top_reviews(rows: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """scored() rows kept per product and bucket, with their place; rows of no bucket are dropped.
 
     Order: score descending, then review_id. The constant bound is applied first, so tasks
-    cut every group to MOST rows before the shuffle; the product's own bound follows.
+    cut every group to MOST rows before the shuffle; the product's own bound follows. With
+    ``raw`` reviews the counts come from them, which spares scoring twice.
     """
     order = Window.partitionBy("parent_asin", "bucket").orderBy(F.desc("score"), F.asc("review_id"))
     few = rows.where("parent_asin is not null and bucket is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= MOST)
-    return few.join(counts(rows), "parent_asin").where(F.col("place") <= F.col("keep"))
+    return few.join(counts(rows if raw is None else rated(raw)), "parent_asin").where(F.col("place") <= F.col("keep"))
 
 
 def majority_sentiment(rows: DataFrame) -> DataFrame:
@@ -70,7 +78,7 @@ def highlights(rows: DataFrame, texts: DataFrame, share: tuple[float, float, flo
 
 def product_reviews(reviews: DataFrame) -> DataFrame:
     """(parent_asin, overall_sentiment, review_highlights) of every product with a kept review."""
-    kept = top_reviews(scored(reviews))
+    kept = top_reviews(scored(reviews), reviews)
     texts = reviews.where("review_id is not null").select("review_id", "text")
     wanted = kept.select("review_id").distinct()
     once = texts.join(wanted, "review_id", "left_semi").dropDuplicates(["review_id"])
@@ -82,4 +90,4 @@ def sentiment_counts(rows: DataFrame) -> DataFrame:
     return majority_sentiment(rows).groupBy("overall_sentiment").agg(F.count(F.lit(1)).alias("n_products"))
 
 
-__all__ = ["counts", "highlights", "majority_sentiment", "product_reviews", "scored", "sentiment_counts", "top_reviews"]
+__all__ = ["counts", "highlights", "majority_sentiment", "product_reviews", "rated", "scored", "sentiment_counts", "top_reviews"]

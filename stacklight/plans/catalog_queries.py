@@ -43,6 +43,11 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.latest_rows(table(spark, folder, "vector_index"))
 
 
+def kept_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    raw = table(spark, folder, "reviews")
+    return review_ops.top_reviews(review_ops.scored(raw), raw)
+
+
 # --- reviews -----------------------------------------------------------------
 
 
@@ -59,22 +64,22 @@ def aspect_count(spark, folder):
 
 @query(f"WITH {S.SCORED} SELECT parent_asin, count(rating) AS n_rated, CASE WHEN count(rating) <= 3 THEN count(rating) WHEN count(rating) <= 10 THEN 2 ELSE 3 END AS keep FROM scored WHERE parent_asin IS NOT NULL GROUP BY 1")
 def rating_bucket_k(spark, folder):
-    return review_ops.counts(review_ops.scored(table(spark, folder, "reviews")))
+    return review_ops.counts(review_ops.rated(table(spark, folder, "reviews")))
 
 
 @query(f"WITH {S.KEPT} SELECT parent_asin, bucket, place, review_id, score FROM kept")
 def review_topk(spark, folder):
-    return review_ops.top_reviews(review_ops.scored(table(spark, folder, "reviews"))).select("parent_asin", "bucket", "place", "review_id", "score")
+    return kept_reviews(spark, folder).select("parent_asin", "bucket", "place", "review_id", "score")
 
 
 @query(f"WITH {S.KEPT}, {S.MAJORITY} SELECT * FROM majority")
 def product_sentiment(spark, folder):
-    return review_ops.majority_sentiment(review_ops.top_reviews(review_ops.scored(table(spark, folder, "reviews"))))
+    return review_ops.majority_sentiment(kept_reviews(spark, folder))
 
 
 @query(f"WITH {S.KEPT}, {S.MAJORITY} SELECT overall_sentiment, count(*) AS n_products FROM majority GROUP BY 1")
 def sentiment_counts(spark, folder):
-    return review_ops.sentiment_counts(review_ops.top_reviews(review_ops.scored(table(spark, folder, "reviews"))))
+    return review_ops.sentiment_counts(kept_reviews(spark, folder))
 
 
 @query(f"WITH {S.KEPT}, {S.HIGHLIGHTS} SELECT parent_asin, len(review_highlights) AS n_highlights, array_to_string(review_highlights, '|') AS review_highlights FROM mixed")
