@@ -14,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 from .boosting import Boosted
 from .pii_spans import KINDS, Span, Words, around, features, propose
 from .pii_training import labelled
 
 #: Generated texts the classifier is trained on (about six candidates each); the bound of its sample.
 TRAINING_TEXTS = 5000
-#: A word is ordinary if at least this share of the records (and five of them) use it. With an average
-#: of w distinct words a record, at most w / ORDINARY_SHARE words can be: the bound of what is broadcast.
+#: A word is ordinary if at least this share of the distinct texts (and five of them) use it. With an average
+#: of w distinct words a text, at most w / ORDINARY_SHARE words can be: the bound of what is broadcast.
 ORDINARY_SHARE = 0.0015
 
 
@@ -39,9 +39,9 @@ def train(n_texts: int = TRAINING_TEXTS, seed: int = 11) -> Model:
     The threshold of a kind is the probability with the best F1 on the held-out texts.
     """
     none: frozenset[str] = frozenset()
-    x, y, _ = labelled(n_texts, seed, none)
+    x, y, _ = labelled(n_texts, seed, none, mixed=True)
     trees = Boosted().fit(x, y)
-    x, y, kinds = labelled(max(n_texts // 2, 200), seed + 1, none)
+    x, y, kinds = labelled(max(n_texts // 2, 200), seed + 1, none, mixed=True)
     trees.calibrate(x, y)
     p, limits = trees.probability(x), []
     for k in range(len(KINDS)):
@@ -83,43 +83,56 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-‐‑][^\W\d_]+)*")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records per word, summed in the task before anything is sent."""
-    seen: Counter[str] = Counter()
+    """Texts per word and those that have it in lower case, summed in the task; the null word counts all texts."""
+    seen: Counter[str | None] = Counter()
+    low: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([low[w] for w in seen], pa.int64())], ["word", "n", "low"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if text:
-                seen.update(set(_WORD.findall(text.lower())))
+            used = set(_WORD.findall(text))
+            lowered = {w.lower() for w in used}
+            seen.update(lowered)
+            seen[None] += 1
+            low.update(used & lowered)
         if len(seen) > 500_000:
             yield flush()
             seen.clear()
+            low.clear()
     yield flush()
 
 
+def word_use(df: DataFrame, text: str, share: float = ORDINARY_SHARE) -> tuple[frozenset[str], frozenset[str]]:
+    """(words that at least ``share`` of the distinct non-null texts, and five, use; those of them mostly capitalised).
+
+    All texts count, but copies and redelivered rows only once, so that a copied name doesn't become ordinary.
+    """
+    docs = spread(df.where(F.col(text).isNotNull()).select(text)).distinct()
+    counts = cut(docs.mapInArrow(_count_words, "word string, n long, low long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("low").alias("low")))
+    total = sum(r["n"] for r in counts.where("word is null").collect())
+    rows = counts.where(F.col("word").isNotNull() & (F.col("n") >= 5) & (F.col("n") >= share * total)).collect()
+    return frozenset(r["word"] for r in rows), frozenset(r["word"] for r in rows if 2 * r["low"] < r["n"])
+
+
 def ordinary_words(df: DataFrame, text: str, share: float = ORDINARY_SHARE) -> frozenset[str]:
-    """Words that at least ``share`` of the non-null texts, and five, use. All texts count."""
-    docs = spread(df.where(F.col(text).isNotNull()).select(text))
-    total = docs.count()
-    counts = docs.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counts.where((F.col("n") >= 5) & (F.col("n") >= share * total)).select("word").collect()
-    return frozenset(r["word"] for r in rows)
+    """Words that at least ``share`` of the distinct non-null texts, and five, use."""
+    return word_use(df, text, share)[0]
 
 
 def personal_information(df: DataFrame, key: str = "review_id", text: str = "text", n_texts: int = TRAINING_TEXTS) -> DataFrame:
     """(key, pii_kind, pii_text, start, end, probability): every span selected for redaction.
 
     Offsets are code points of the text. Null and empty texts have none; rows with a null key
-    are kept under null. Rows stay where they lie but for the word counts, which are summed per
-    task first.
+    are kept under null. Rows stay where they lie but for the word counts, for which equal texts
+    are brought together first.
     """
-    shared = df.sparkSession.sparkContext.broadcast((ordinary_words(df, text), train(n_texts)))
+    shared = df.sparkSession.sparkContext.broadcast((word_use(df, text), train(n_texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, model = shared.value
-        words = Words(common)
+        use, model = shared.value
+        words = Words(*use)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = [(k, s.kind, t[s.start : s.end], s.start, s.end, p) for k, t, found in zip(keys, texts, find_in(texts, words, model)) for s, p in found]
@@ -136,11 +149,11 @@ def redact(df: DataFrame, key: str = "review_id", text: str = "text", n_texts: i
 
     One row per input row; null stays null; texts without personal information are unchanged.
     """
-    shared = df.sparkSession.sparkContext.broadcast((ordinary_words(df, text), train(n_texts)))
+    shared = df.sparkSession.sparkContext.broadcast((word_use(df, text), train(n_texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, model = shared.value
-        words = Words(common)
+        use, model = shared.value
+        words = Words(*use)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out = []

@@ -77,6 +77,7 @@ CUES = {
     "other": "order sku tracking model style tag size label version article lot ratio bought fits code width item serial batch page number no care",
 }
 _CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
+_NAME_AFTER = frozenset("liked next fixed".split())
 _AFTER = frozenset("liked next fixed from at in if works thanks soon after and".split())
 # Ordinary words that are no names, so small collections need no statistics of their own.
 ORDINARY = frozenset(
@@ -98,13 +99,24 @@ ORDINARY = frozenset(
 
 # Particles that belong to the family name after them.
 _PARTICLES = frozenset("von van der den de del della di da dos du la le ten ter zu zur bin ibn al".split())
+_PLAIN_FIXED = frozenset(w for w in ORDINARY | frozenset(STREETS.split("|")) if len(w) > 1) - _PARTICLES
+
+
+_NAME_GAP = re.compile(r"(\.?)(,?)[ \xa0]{1,2}")
+_DASHES = frozenset("(-–—")
+_FIXED = ORDINARY | frozenset(STREETS.split("|"))
 
 
 class Words:
-    """Which words are ordinary: the fixed ones and those that many records of the collection use."""
+    """Which words are ordinary: the fixed ones and those that many records of the collection use.
 
-    def __init__(self, common: frozenset[str] | set[str] = frozenset()):
-        self.ordinary = ORDINARY | frozenset(STREETS.split("|")) | common
+    ``proper`` are the common ones that are mostly capitalised: brands, places, names that recur.
+    """
+
+    def __init__(self, common: frozenset[str] | set[str] = frozenset(), proper: frozenset[str] | set[str] = frozenset()):
+        self.common = common - _FIXED
+        self.ordinary = _FIXED | common
+        self.plain = self.ordinary - (proper - _FIXED)
 
     def rare(self, word: str) -> bool:
         return len(word) > 1 and word.lower() not in self.ordinary
@@ -141,39 +153,64 @@ def _address_ends(text: str, end: int, first: int, words: Words) -> list[int]:
 
 
 def names(text: str, words: Words) -> list[Span]:
-    """Neighbouring words that could be a person's name: uncommon words, with initials, in either order."""
+    """Neighbouring words that could be a person's name, with initials, in either order.
+
+    Words the collection uses often count too where they are capitalised or a cue stands
+    beside them; how ordinary they are is left to the trees.
+    """
     out: list[Span] = []
-    if set(_TOKEN.findall(text.lower())) <= words.ordinary:
-        return out
-    ordinary = words.ordinary
-    tokens, kinds = [], []
+    common = words.common
+    tokens: list[tuple[int, int, str]] = []
+    lows: list[str] = []
+    kinds: list[str] = []
     particle = -1  # start of the particles before the next word
     for m in _TOKEN.finditer(text):
-        (a, e), w = m.span(), m[0]
+        w = m[0]
         low = w.lower()
-        if low in _PARTICLES and text[e : e + 1] == " ":
+        (a, e), kind = m.span(), ""
+        if low in _PLAIN_FIXED:
+            pass
+        elif low in _PARTICLES and text[e : e + 1] == " ":
             particle = a if particle < 0 else particle
             continue
-        beside_digit = text[e : e + 1].isdigit() or text[a - 1 : a].isdigit()
-        kind = "" if beside_digit else "i" if len(w) == 1 and text[e : e + 1] == "." else "w" if len(w) > 1 and low not in ordinary else ""
+        elif not (text[e : e + 1].isdigit() or text[a - 1 : a].isdigit()):
+            kind = "i" if len(w) == 1 and text[e : e + 1] == "." else "w" if len(w) > 1 and low not in _FIXED else ""
         tokens.append((particle if particle >= 0 and kind == "w" else a, e, w))
+        lows.append(low)
         kinds.append(kind)
         particle = -1
     n = len(tokens)
+
+    def uncommon(i: int, j: int) -> bool:
+        return all(kinds[k] == "i" or lows[k] not in common for k in range(i, j))
+
+    def capital(i: int, j: int) -> bool:
+        return all(kinds[k] == "i" or tokens[k][2][0].isupper() and not tokens[k][2].isupper() for k in range(i, j))
+
+    def cued(i: int, j: int) -> bool:
+        """Whether a word beside tokens i to j - 1 speaks for a name, or they follow a bracket or dash or fill a line."""
+        if i and lows[i - 1] in _CUES["name"] or j < n and lows[j] in _NAME_AFTER:
+            return True
+        left = text[max(0, tokens[i][0] - 4) : tokens[i][0]].rstrip(" \xa0")
+        end = tokens[j - 1][1]
+        return left[-1:] in _DASHES if left[-1:] not in ("", "\n") else text[end : end + 1] in ("", "\n")
+
     for i in range(n - 1):
-        if not kinds[i]:
+        if not kinds[i] or not kinds[i + 1]:
             continue
         for length in (2, 3):
-            if i + length > n or not all(kinds[i : i + length]):
+            j = i + length
+            if j > n or not all(kinds[i:j]):
                 break
-            gaps = [text[tokens[k][1] : tokens[k + 1][0]] for k in range(i, i + length - 1)]
-            if any(not (m := re.fullmatch(r"(\.?)(,?)[  ]{1,2}", g)) or (m[1] == "." and kinds[i + k] != "i") for k, g in enumerate(gaps)):
+            if not uncommon(i, j) and not capital(i, j) and not cued(i, j):
+                continue
+            gaps = [text[tokens[k][1] : tokens[k + 1][0]] for k in range(i, j - 1)]
+            if any(g != " " and (not (m := _NAME_GAP.fullmatch(g)) or (m[1] == "." and kinds[i + k] != "i")) for k, g in enumerate(gaps)):
                 break
-            shape = "".join(k + ("," if "," in g else "") for k, g in zip(kinds[i:], gaps)) + kinds[i + length - 1]
+            shape = "".join(k + ("," if "," in g else "") for k, g in zip(kinds[i:], gaps)) + kinds[j - 1]
             form = {"ww": 0, "iw": 1, "wiw": 2, "w,w": 3, "w,i": 4, "w,wi": 5, "iiw": 6, "w,ii": 7, "www": 8}.get(shape)
             if form is not None:
-                end = tokens[i + length - 1][1]
-                out.append(Span("name", tokens[i][0], end + (shape[-1] == "i"), form))
+                out.append(Span("name", tokens[i][0], tokens[j - 1][1] + (shape[-1] == "i"), form))
     return out
 
 
@@ -258,4 +295,5 @@ def features(text: str, span: Span, others: list[Span], words: Words) -> list[fl
         float(left[-1:] in "(<:-"), float(not left.strip()), float(right[:1] in ")>.,!;\n" or not right), float(right[:2] == " -" or right[:2] == " \n"),
         float(longer), float(inside), float(same_start), float(sum(words.rare(t) for t in tokens)), float(sum(len(t) == 1 for t in tokens)),
         float(bool(re.search(r"\d{4}-\d\d-\d\d", body))), float(last in ("the", "a", "an", "this")),
+        float(sum(t.lower() in words.plain for t in tokens)),
     ]

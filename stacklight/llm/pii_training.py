@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .pii_spans import DIGIT_WORDS, Span, Words, around, features, propose
+from .pii_spans import _TOKEN, DIGIT_WORDS, Span, Words, around, features, propose
 
 # Building blocks of invented names and places, and sentence frames.
 _HEADS = "mar bel tor ran sel vik dor lin har kas ber fen gal hol jor kel lam mor nor pel quin ros stan tam ulf ver wes yor zan al ed os ir".split()
@@ -16,7 +16,7 @@ _NAME_FRAMES = [
     "My neighbour {} predicted that.", "Spoke with {} about it.", "Whenever my cousin {} visits, I wear it.", "({})", "best wishes {}",
 ]
 _PHONE_FRAMES = [
-    "Call me on {} after six.", "Ring {} and ask about the return.", "They never phoned {}.", "Fax {}; ext. 12", "tel {}", "reach me @ {}", "my number is {}, text only",
+    "Call me on {} after six.", "Ring {} and ask about the return.", "They never phoned {}.", "Fax {}; ext. 12", "tel {}", "reach me @ {}", "text me @ {}", "call us @ {}", "my number is {}, text only",
     "whatsapp:{}", "({})", "{} -", "{}.", "You can text {} any time", "mobile {}",
 ]
 _ID_FRAMES = [
@@ -37,6 +37,11 @@ _DECOYS = [
     "The {w} {w} jacket I own is better.", "a {w} {w} dress like this", "Bought the {w} {w} coat too", "this {w} {w} shirt runs small",
     "cost me {d2} dollars and {d2} cents", "{d2} of {d2} days", "Walked {d1} blocks down the main road", "about {d2} steps from the park way", "gift code {d4} {d4}",
 ]
+# of words that many texts of a collection use; put only in texts that are given such words
+_COMMON_DECOYS = [
+    "My colleague {l} {l} it anyway.", "as my boss {l}, {l} it on the train", "worn by {l} {l} people", "ask {l} {l} first", "{w} {l} the {l} came apart", "from my {l}, {l} in a {l} yarn", "it was {l} - {l} {l} in the end",
+    "{w} {w} {l} is nicer.", "{w} {w} {l} {l} longer", "{w} {w} brand buttons", "this one is {l}, {l} and {l} a bit {l}", "my coach {l} {l} on the {l}", "that my boss {l}, {l} or not", "my landlady {l}, {l} lot {d4}",
+]
 _FILLER = [
     "Delivery took {d2} days and the coat arrived in a soft box.", "Runs large, size down.", "Would buy again.", "The zipper came with {d2} loose threads.", "My aunt has the green one, I took blue.",
     "Too small", "good", "Every Friday I wear it to the gym and {d2} people ask about it.", "The chart says {d2} but the tape says {d2}.", "Lovely nurbel fabric.", "it was quorl and tesk soft", "nice zelbo tarnish",
@@ -47,6 +52,7 @@ _FILLER = [
 class _Maker:
     def __init__(self, seed: int):
         self.g = np.random.default_rng(seed)
+        self.starters: set[str] = set()  # capitalised ordinary words put before names
 
     def pick(self, xs):
         return xs[int(self.g.integers(len(xs)))]
@@ -62,7 +68,7 @@ class _Maker:
         while i < len(frame):
             if frame[i] == "{":
                 j = frame.index("}", i)
-                out.append(self.word() if frame[i + 1] == "w" else self.digits(int(frame[i + 2 : j])))
+                out.append(self.word() if frame[i + 1] == "w" else self.word().lower() if frame[i + 1] == "l" else self.digits(int(frame[i + 2 : j])))
                 i = j + 1
             else:
                 out.append(frame[i])
@@ -133,8 +139,9 @@ class _Maker:
         text = self.pick([f"{local}@{host}.{top}"] * 4 + [f"{local} @ {host}.{top}", f"{local} (at) {host}.{top}", f"{local}[at]{host.replace('.', '[dot]')}[dot]{top}", f"{a} dot {b} at {host.replace('.', ' dot ')} dot {top}"])
         return text.upper() if self.g.random() < 0.08 else text
 
-    def text(self) -> tuple[str, set[tuple[str, int, int]]]:
-        """(text, true spans)."""
+    def text(self, mixed: bool = False) -> tuple[str, set[tuple[str, int, int]]]:
+        """(text, true spans); if ``mixed``, some names stand beside a capitalised ordinary word."""
+        self.starters = set()
         parts, spans, at = [], set(), 0
         for _ in range(int(self.g.integers(2, 6))):
             kind = self.g.random()
@@ -142,7 +149,7 @@ class _Maker:
             if kind < 0.25:
                 s = self.fill(self.pick(_FILLER))
             elif kind < 0.45:
-                s = self.fill(self.pick(_DECOYS))
+                s = self.fill(self.pick(_COMMON_DECOYS if mixed and self.g.random() < 0.6 else _DECOYS))
             else:
                 which = self.pick(["name", "name", "phone", "id_number", "address", "email"])
                 frame = {"name": _NAME_FRAMES, "phone": _PHONE_FRAMES, "address": _ADDRESS_FRAMES, "email": _EMAIL_FRAMES}.get(which)
@@ -152,6 +159,10 @@ class _Maker:
                     label, value = self.ident()
                     frame = self.pick(_ID_FRAMES)[0].replace("{}", label, 1)
                 s = frame.replace("{}", value, 1)
+                if mixed and which == "name" and self.g.random() < 0.15:
+                    starter = self.word()
+                    self.starters.add(starter.lower())
+                    s = f"{starter} {s}" if self.g.random() < 0.6 else f"{s} {starter} through the day"
                 got = (which, value)
             if got:
                 k = s.index(got[1])
@@ -162,14 +173,49 @@ class _Maker:
         return "".join(parts), spans
 
 
-def labelled(n_texts: int, seed: int, common: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, labels, kind numbers) of the candidates of ``n_texts`` generated texts."""
+def _usage(text: str, true: set[tuple[str, int, int]], maker: _Maker) -> Words:
+    """Words of a made-up collection the text belongs to: most words outside the spans are common, a few names too."""
+    common, proper = set(maker.starters), set()
+    chance = maker.g.random
+    spans = {(a, b): (kind, chance()) for kind, a, b in sorted(true)}
+    for m in _TOKEN.finditer(text):
+        low = m[0].lower()
+        kind, own = next((v for (a, b), v in spans.items() if a <= m.start() < b), ("", 0.0))
+        if low in maker.starters:
+            if chance() < 0.5:
+                proper.add(low)
+            continue
+        if kind == "name":  # a name that recurs, or one word of it
+            if own < 0.15 or own < 0.25 and chance() < 0.5:
+                common.add(low)
+                if chance() < 0.9:
+                    proper.add(low)
+        elif kind:
+            if chance() < 0.1:
+                common.add(low)
+                proper.add(low)
+        elif chance() < 0.97:
+            common.add(low)
+            if m[0][0].isupper() and chance() < 0.5:
+                proper.add(low)
+    return Words(common, proper)
+
+
+def labelled(n_texts: int, seed: int, common: frozenset[str], mixed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, kind numbers) of the candidates of ``n_texts`` generated texts.
+
+    If ``mixed``, seven texts of ten come from collections with common words of their own.
+    """
     from .pii_spans import KINDS
 
-    maker, words = _Maker(seed), Words(common)
+    maker, plain = _Maker(seed), Words(common)
     x, y, kinds = [], [], []
     for _ in range(n_texts):
-        text, true = maker.text()
+        drawn = mixed and maker.g.random() < 0.7
+        text, true = maker.text(drawn)
+        words = _usage(text, true, maker) if drawn else plain
+        if drawn and maker.g.random() < 0.08 and len(text.upper()) == len(text):
+            text = text.upper()
         spans = propose(text, words)
         for s, near in zip(spans, around(spans)):
             x.append(features(text, s, near, words))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from stacklight.llm import pii, pii_training
-from stacklight.llm.pii_spans import KINDS, Words
+from stacklight.llm.pii_spans import KINDS, Words, propose
 
 TEXTS = 900
 
@@ -60,3 +60,32 @@ def test_ordinary_words_count_all_texts(spark):
     df = spark.createDataFrame([(f"common rare{chr(97 + i % 26)}{chr(97 + i // 26)}",) for i in range(40)] + [(None,)], "text string")
     assert pii.ordinary_words(df, "text") == frozenset({"common"})
     assert Words(frozenset({"common"})).rare("Rareness") and not Words(frozenset({"common"})).rare("Common")
+
+
+def _filled(i: int) -> str:
+    return f"The parka {'faded' if i % 2 else 'shrank'} after {i} washes and the hem came loose."
+
+
+def test_copied_name_is_found(spark):
+    text = "My tailor Brannoc Delwyth fixed it."
+    rows = [(i, text if i % 3 == 0 else _filled(i)) for i in range(300)] + [(1000, "Signed, Brannoc Ferrisham")]
+    df = spark.createDataFrame(rows, "review_id long, text string")
+    assert not {"brannoc", "delwyth"} & pii.ordinary_words(df, "text")
+    got = {(r["review_id"], r["pii_kind"], r["pii_text"]) for r in pii.personal_information(df, n_texts=TEXTS).collect()}
+    assert got == {(i, "name", "Brannoc Delwyth") for i in range(0, 300, 3)} | {(1000, "name", "Brannoc Ferrisham")}
+
+
+def test_name_in_changed_copies_is_found(spark):
+    rows = [(i, f"My tailor Brannoc Delwyth fixed it on day {i}." if i % 3 == 0 else _filled(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "review_id long, text string")
+    assert {"brannoc", "delwyth"} <= pii.ordinary_words(df, "text")
+    got = {(r["review_id"], r["pii_text"]) for r in pii.personal_information(df, n_texts=TEXTS).collect()}
+    assert got == {(i, "Brannoc Delwyth") for i in range(0, 300, 3)}
+
+
+def test_common_words_are_proposed_where_capitalised_or_cued():
+    words = Words(frozenset({"brannoc", "delwyth", "parka", "faded"}), frozenset({"brannoc", "delwyth"}))
+    spans = lambda t: {t[s.start : s.end] for s in propose(t, words)}
+    assert "Brannoc Delwyth" in spans("it was Brannoc Delwyth who did it")
+    assert "brannoc delwyth" in spans("signed brannoc delwyth")
+    assert not spans("the parka faded")
