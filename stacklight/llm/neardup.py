@@ -229,6 +229,8 @@ def _bucket_pairs(s: Settings):
             if len(done[0]):
                 yield from finish(done, big, passed)
                 big, passed = None, 0
+            elif last != big:  # the batch begins with another key: the bucket under way ended at the boundary
+                big, passed = None, 0
             if big is None and len(tail[0]) > s.tile:
                 big, passed = last, 0
             if big is not None:

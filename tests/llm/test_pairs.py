@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,12 @@ def test_posterior_bounds():
     # pairs right at the limit are seldom ruled out
     hits = np.random.default_rng(1).binomial(64, 0.85, 100000)
     assert (hits < low).mean() < 0.005
+
+
+def test_oversized_buckets_that_meet_at_a_batch_boundary():
+    s = neardup.Settings(tile=3)
+    keys = [[7] * 8, [9] * 8, [9] * 2 + [11]]
+    first = [0, 8, 16]
+    batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(range(f, f + len(k)), pa.int64()), pa.array([0] * len(k), pa.int64()), pa.array([40] * len(k), pa.int64())], ["key", "id", "sketch", "more"]) for k, f in zip(keys, first)]
+    out = [row for b in neardup._bucket_pairs(s)(iter(batches)) for row in b.to_pylist()]
+    assert {(r["key"], r["a"], r["chunk"]) for r in out} == {(7, i, i // 3) for i in range(8)} | {(9, 8 + i, i // 3) for i in range(10)}
