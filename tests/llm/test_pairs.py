@@ -163,3 +163,10 @@ def test_oversized_buckets_that_meet_at_a_batch_boundary():
     batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(range(f, f + len(k)), pa.int64()), pa.array([0] * len(k), pa.int64()), pa.array([40] * len(k), pa.int64())], ["key", "id", "sketch", "more"]) for k, f in zip(keys, first)]
     out = [row for b in neardup._bucket_pairs(s)(iter(batches)) for row in b.to_pylist()]
     assert {(r["key"], r["a"], r["chunk"]) for r in out} == {(7, i, i // 3) for i in range(8)} | {(9, 8 + i, i // 3) for i in range(10)}
+
+
+def test_reinforcement_that_does_not_converge_is_an_error(spark):
+    forms = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "d"]), (3, ["a", "d", "e"])], "form long, terms array<string>")
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        products.reinforce(pairs, forms, products.Settings(rounds=1, tolerance=1e-9))
