@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,23 +26,43 @@ def get_spark(app: str = "stacklight", cores: str | int = "*", shuffle_partition
     )
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share, so data there outlives any of them.
 
-    The folder is the one the session names in ``spark.checkpoint.dir`` (shared by
-    all executors, so the data outlives any of them). Only where that setting is
-    absent, as in local tests, a folder of this machine is used.
+    Only where that setting is absent, as in local tests, a folder of this machine is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None)
-        if not folder:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="stacklight-")
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stacklight-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared folder and go on from there.
+
+    Unlike a checkpoint, the table has its true size in the planner's statistics (a checkpoint carries the estimate of
+    its plan along, and estimates of joins multiply from round to round), and is stored by column. It is deleted
+    when the session's process ends, or by ``forget``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that ``cut`` wrote; nothing may read it afterwards."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(file)
+        if place.getName().startswith("table-"):
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
