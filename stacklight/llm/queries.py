@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .leakage import leaks, remove_leaks
@@ -20,8 +21,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of listings of every product that has several, by class."""
-    return same_product(table(spark, folder, "metadata")).groupBy("product").count().where("count > 1")
+    """Class of every listing, named by its least key, and the number of keys in the class."""
+    told = same_product(table(spark, folder, "metadata"))
+    classes = told.groupBy("product").agg(F.min("parent_asin").alias("class"), F.count(F.lit(1)).alias("n_listings"))
+    return told.join(classes, "product").select("parent_asin", "class", "n_listings")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -41,59 +41,103 @@ def test_components(spark, seed):
 
 # --- listings ----------------------------------------------------------------
 
-TITLES = [
-    ("a", "Bexmoor Lilac Unisex Adult Bayarlor Tee Must-Have, 55 cm, 38 EU, Ripstop Nylon", ["Set of 5 (pack)", "The red version is listed on its own page."]),
-    ("b", "BEXMOOR 21.7 in BAYARLOR T-SHIRT", ["<ul><li>Colour Pale Lilac</li><li>Size Size 38</li><li>Material Nylon</li></ul>", "Department: Unisex", "5pk (pack)"]),
-    ("c", "Bexmoor Bayralor Tshirt 🔥 Hot / 0.55 m", ["This piece comes as follows: Lilac; EU 38; Five-Pack; Nylon; Unisex; XY1234."]),
-    ("d", "Bexmoor Lilac Unisex Bayarlor Tee 56 cm 38 EU Nylon x5", None),
-    ("e", "Bexmoor Lilac Unisex Bayarlor Dress 55 cm 38 EU Nylon x5", []),
-    ("f", "Tarn&Tweed  Black Men’s Nilquin Jeans, 1.02 m, Size: L, Wool", ["", None]),
-    ("g", "tarn and tweed blk gents nilquin denim pants 1020 mm large merino wool 1 piece", None),
-    ("h", None, None),
-    ("i", "", [""]),
-    (None, "Bexmoor Lilac Unisex Bayarlor Tee 55 cm 38 EU Nylon x5", None),
-    ("a", "Bexmoor Lilac Unisex Adult Bayarlor Tee Must-Have, 55 cm, 38 EU, Ripstop Nylon", ["Set of 5 (pack)", "The red version is listed on its own page."]),
-]
-
-
-def test_listing_is_read_into_attributes():
-    values, promotions = listing_terms.listing(TITLES[1][1], TITLES[1][2])
-    assert values == {"brand": "bexmoor", "line": "bayarlor", "kind": "t-shirt", "dept": "unisex", "colour": "lilac", "size": "38", "material": "nylon", "length": "55", "pieces": "5"}
-    assert listing_terms.listing(None, None) == ({"pieces": "1"}, [])
-    assert listing_terms.listing("Wickerman zq 5301 EU 42 Pack of 5 Hot Sale", None)[1] == ["hot sale"]
-    assert listing_terms.listing("Wickerman EU 42 Pack of 5", None)[0]["size"] == "42"
-
-
-def test_slips():
-    assert listing_terms.one_slip_apart("bayarlor", "bayralor", 1) and listing_terms.one_slip_apart("bayarlor", "bayyarlor", 1)
-    assert not listing_terms.one_slip_apart("bayarlor", "borathtam") and listing_terms.letters("bayarlor") == listing_terms.letters("bayralor")
-
-
-def test_same_product(spark):
-    df = spark.createDataFrame(TITLES, "parent_asin string, title string, description array<string>").withColumn("key", F.lit(1)).withColumn("form", F.lit("x"))
-    pairs = {tuple(r) for r in products.product_pairs(products.same_product(df)).collect()}
-    assert pairs == {("a", "b"), ("a", "c"), ("b", "c"), ("f", "g"), ("h", "i")}
+# an invented vocabulary: no word of it occurs in the test tables
+GARMENTS = [["zorp", "zorp coat"], ["flim", "long flim"], ["quib"], ["dask", "open dask", "round dask"], ["mulk", "twin mulk"], ["sneve"], ["grolt", "flat grolt"], ["prand"]]
+SHADES = [["vosk", "pale vosk"], ["jurn", "deep jurn", "jrn"], ["wexel"], ["oblin", "oblin tint"], ["kref", "mirek"], ["tolva"], ["hasp", "bosp"], ["yint", "cold yint"]]
+MAKERS = ["Ackerby", "Brontel Lane", "Cuvick", "Dorset Quo", "Eltham & Ruse", "Fennick", "Gorm Supply", "Hexley", "Isko", "Jantry", "Kolb", "Lummoth", "Morvane", "Nubbin Co", "Ostrel", "Pavick"]
+SLOGANS = ["buy now", "star pick", "mega deal", "wow", "last chance", "editors love it", "one of a kind", "just in", "our choice", "back again"]
+
+
+def catalogue(seed, products_wanted=900):
+    g = random.Random(seed)
+    ranges = ["".join(g.choice("bdfglmnprstv") + g.choice("aeiou") for _ in range(4)) + g.choice("klnrs") for _ in range(12)]
+    rows, truth = [], {}
+    made = []
+    for _ in range(products_wanted):
+        if made and g.random() < 0.3:  # another product that differs in one thing
+            p = list(g.choice(made))
+            i = g.randrange(6)
+            p[i] = [g.randrange(len(MAKERS)), g.choice(ranges), g.randrange(len(GARMENTS)), g.randrange(len(SHADES)), g.randrange(30, 110), g.choice("SML")][i]
+        else:
+            p = [g.randrange(len(MAKERS)), g.choice(ranges), g.randrange(len(GARMENTS)), g.randrange(len(SHADES)), g.randrange(30, 110), g.choice("SML")]
+        made.append(p)
+    for p in dict.fromkeys(map(tuple, made)):
+        for _ in range(g.randrange(1, 5)):
+            at = g.randrange(1, 7)
+            name = p[1] if g.random() < 0.95 else p[1][:at] + p[1][at + 1] + p[1][at] + p[1][at + 2 :]
+            length = g.choice([f"{p[4]} cm", f"{p[4] * 10}mm", f"{p[4] / 2.54:.1f} inches"])
+            size = {"S": ["S", "Small"], "M": ["M", "Medium"], "L": ["Size: L", "Large"]}[p[5]]
+            shade, words = g.choice(SHADES[p[3]]), [f"{name} {g.choice(GARMENTS[p[2]])}", length]
+            said = []
+            (words if g.random() < 0.5 else said).append(shade)
+            words.append(g.choice(size))
+            words += g.sample(SLOGANS, g.randrange(0, 3))
+            g.shuffle(words)
+            said = [g.choice([f"Shade: {x}", f"{x} (shade)", f"<ul><li>Shade {x}</li></ul>"]) for x in said]
+            key = f"k{len(rows):05}"
+            rows.append((key, f"{MAKERS[p[0]]} " + g.choice([" - ", " / ", ", "]).join(words), [*said, "Dry in the shade, never in the sun."]))
+            truth.setdefault(p, []).append(key)
+    return rows, {(a, b) for keys in truth.values() for a, b in combinations(sorted(keys), 2)}
+
+
+@pytest.fixture(scope="module")
+def classed(spark):
+    rows, want = catalogue(3)
+    odd = [(None, rows[0][1], None), ("zz1", None, None), ("zz2", "", [""]), ("zz3", "word " * 3000, [None]), rows[0]]
+    df = spark.createDataFrame([*rows, *odd], "parent_asin string, title string, description array<string>").withColumn("key", F.lit(1)).withColumn("form", F.lit("x"))
+    return df, products.same_product(df).cache(), want
+
+
+def test_wordings_are_learned_from_the_listings_alone(classed):
+    _, found, want = classed
+    got = {tuple(r) for r in products.product_pairs(found).collect()} - {("zz1", "zz2")}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_listings_without_words_and_tables_without_rows(spark, classed):
+    df, found, _ = classed
+    classes = {r["parent_asin"]: r["product"] for r in found.collect()}
+    assert None not in classes and classes["zz1"] == classes["zz2"] != classes["zz3"]
     assert products.product_pairs(products.same_product(df.limit(0))).count() == 0
 
 
-def test_copies_of_one_product_stay_linear(spark):
-    n = 300
-    rows = [(f"k{i:03}", "Bexmoor Lilac Unisex Bayarlor Tee 55 cm 38 EU Nylon x5" + " Hot Sale" * (i % 2), None) for i in range(n)]
-    read = products.listing_terms(spark.createDataFrame(rows, "parent_asin string, title string, description array<string>"), "parent_asin", "title", "description")
-    forms = read.select(F.xxhash64("attrs", "line").alias("tuple"), F.xxhash64("attrs", "line", "terms").alias("form"), "attrs").distinct()
-    assert products.candidate_pairs(forms).count() == 1
+def test_pairs_of_a_hot_class_come_from_tiles(spark):
+    df = spark.createDataFrame([(1, f"k{i:04}") for i in range(1500)] + [(2, "x"), (2, "y")], "product long, parent_asin string")
+    got = products.product_pairs(df)
+    assert got.count() == 1500 * 1499 // 2 + 1 and got.distinct().count() == got.count()
+
+
+def test_scores_decide(spark, classed):
+    """Without a threshold on the learned degrees everything that ever faced each other would be one product."""
+    df, _, want = classed
+    loose = {tuple(r) for r in products.product_pairs(products.same_product(df, settings=products.Settings(threshold=0.0))).collect()}
+    assert len(loose & want) < 0.5 * len(loose)
 
 
-def test_reinforcement_fades_promotions(spark):
-    rows, pairs = [], []
-    for i in range(12):
-        rows += [(2 * i, [f"line:{i}", f"size:{i % 3}", "promotion:a" if i % 2 else "promotion:b"]), (2 * i + 1, [f"line:{i}", f"size:{i % 3}", "promotion:a" if i % 3 else "promotion:c"])]
-        pairs.append((2 * i, 2 * i + 1))
-        if i:
-            pairs.append((2 * i - 2, 2 * i))
-    forms = spark.createDataFrame(rows, "form long, terms array<string>")
-    scores = {(r["a"], r["b"]): r["score"] for r in products.reinforce(spark.createDataFrame(pairs, "a long, b long"), forms, products.Settings()).collect()}
-    assert min(scores[2 * i, 2 * i + 1] for i in range(12)) > max(scores[2 * i - 2, 2 * i] for i in range(1, 12))
+def test_measures_and_statements():
+    told, title, said = listing_terms.listing("Wickerman zq 5301 EU 42 Pack of 5 Hot Sale, 21.7 in", ["39 (depth)", "0.55 m (length)", "Shade: Pale Vosk", "See our other goods."])
+    assert (told.length, told.pieces, told.size) == (551.18, 5, "42") and title == ["wickerman", "hot sale"] and said == ["depth 39", "pale vosk"]
+    told, title, said = listing_terms.listing("a One-Piece Suit x3", ["As follows: XX-Large; Ladies; Shade: Mirek; 8.7\".", "<ul><li>Pack 5pk</li></ul>"])
+    assert (told.length, told.pieces, told.size) == (220.98, 3, "2xl") and title == ["a onecut suit"] and said == ["ladies", "mirek"]
+    told, title, said = listing_terms.listing(None, None)
+    assert (told.length, told.pieces, told.size, title, said) == (None, 1, None, [], [])
+
+
+def test_words_that_belong_together():
+    counts = {"long flim": 9, "long": 9, "flim": 20, "tadak flim": 5, "tadak": 40, "rare pair": 2}
+    assert listing_terms.whole_phrases(counts, 0.3) == {"long flim", "rare pair"}
+
+
+def test_misspelled_words(spark):
+    phrases = spark.createDataFrame([(1, "bayarlor", 50), (2, "bayralor", 2), (3, "bayarlors", 5), (4, "bayarl", 1), (5, "mens", 90), (6, "men", 1), (7, "bayarlox", 30)], "id long, phrase string, n long")
+    assert {tuple(r) for r in products.misspelled(phrases, products.Settings()).collect()} == {(2, 1), (3, 1)}
+
+
+def test_reinforcement_that_does_not_converge_is_an_error(spark):
+    forms = spark.createDataFrame([(i, [i % 3, 10 + i % 2, 20 + i % 5]) for i in range(30)], "form long, ids array<long>")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(29)], "a long, b long")
+    with pytest.raises(RuntimeError, match="rounds"):
+        products.reinforce(pairs, forms, products.Settings(rounds=1, tolerance=1e-9))
 
 
 # --- near duplicates ---------------------------------------------------------
@@ -163,10 +207,3 @@ def test_oversized_buckets_that_meet_at_a_batch_boundary():
     batches = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(range(f, f + len(k)), pa.int64()), pa.array([0] * len(k), pa.int64()), pa.array([40] * len(k), pa.int64())], ["key", "id", "sketch", "more"]) for k, f in zip(keys, first)]
     out = [row for b in neardup._bucket_pairs(s)(iter(batches)) for row in b.to_pylist()]
     assert {(r["key"], r["a"], r["chunk"]) for r in out} == {(7, i, i // 3) for i in range(8)} | {(9, 8 + i, i // 3) for i in range(10)}
-
-
-def test_reinforcement_that_does_not_converge_is_an_error(spark):
-    forms = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "d"]), (3, ["a", "d", "e"])], "form long, terms array<string>")
-    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 3)], "a long, b long")
-    with pytest.raises(RuntimeError, match="rounds"):
-        products.reinforce(pairs, forms, products.Settings(rounds=1, tolerance=1e-9))
