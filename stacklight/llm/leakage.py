@@ -9,15 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..operators.skew import sketch_candidates
+from ..session import cut, spread
+from .bitmap import build, holds, width
 from .text import fold_words, prefix_hash, span_hash
 
 #: Words of a shared passage.
 WORDS = 12
-#: Distinct n-grams that one broadcast may hold (about 24 bytes each); more are joined by a shuffle.
-MAX_BROADCAST_GRAMS = 2_000_000
-
-_SPANS = "item_id long, word_from long, word_to long, char_from long, char_to long"
+#: Parts into which the hits of a passage are dealt that holds a hundredth of all hits.
+PARTS = 64
 
 
 def word_grams(text: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
@@ -57,60 +57,68 @@ def passage(lower: str, starts: np.ndarray, ends: np.ndarray, at: int, n: int) -
     return " ".join(lower[a:b] for a, b in zip(starts[at : at + n].tolist(), ends[at : at + n].tolist()))
 
 
-def gram_table(df: DataFrame, key: str, text: str, n: int, keep_text: bool = False) -> DataFrame:
+def gram_table(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, gram, at, passage): the distinct n-word windows of each text; null and short texts give none."""
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(_gram_rows("key", n, keep_text), "key long, gram long, at long, passage string")
+    return rows.mapInArrow(_gram_rows("key", n, True), "key long, gram long, at long, passage string")
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = WORDS, max_broadcast: int = MAX_BROADCAST_GRAMS) -> DataFrame:
-    """(doc_id, item_id): every document and item that share n consecutive words.
+_HITS = "doc long, body long, gram long, passage string, word_from int, char_from int, char_to int"
 
-    Words are the runs of a-z and 0-9 of the lower-cased text. Null, empty and shorter texts
-    share nothing; rows with a null key are left out; repeated rows count once.
 
-    The items' distinct n-grams are counted; up to ``max_broadcast`` they travel to every
-    task as one sorted array, and each document is scanned once where it lies, with no
-    shuffle of the corpus; hits are verified word for word. A larger item set is joined
-    by n-gram in a shuffle instead, with the same result.
-    """
-    spark = documents.sparkSession
-    grams = gram_table(items, item_key, text, n, True)
-    size = grams.select("gram").distinct().count()
-    docs = spread(documents.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_key).cast("long").alias("key"), F.col(text).alias("text")))
-    if size > max_broadcast:
-        left = docs.mapInArrow(_gram_rows("key", n, True), "key long, gram long, at long, passage string").select(F.col("key").alias(doc_key), "gram", "passage")
-        right = grams.select(F.col("key").alias(item_key), "gram", "passage")
-        return left.join(right, ["gram", "passage"]).select(doc_key, item_key).distinct()
-    # bounded by max_broadcast n-grams, an item may repeat one
-    rows = grams.select("gram", "passage", "key").distinct().collect()
-    table: dict[int, list[tuple[str, int]]] = {}
-    for r in rows:
-        table.setdefault(r["gram"], []).append((r["passage"], r["key"]))
-    shared = spark.sparkContext.broadcast((np.sort(np.fromiter(table, np.int64, len(table))), table))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, owners = shared.value
+def _scan(shared, n: int):
+    """mapInArrow body: (doc, text) -> the windows whose hash may be an item's, with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        names = [c.split()[0] for c in _HITS.split(", ")]
         for batch in batches:
-            out_doc, out_item = [], []
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not body or not len(known):
-                    continue
-                hashes, starts, ends, _, lower = word_grams(body, n)
+            out: list[list] = [[] for _ in kinds]
+            for doc, body, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                hashes, starts, ends, _, lower = word_grams(text, n)
                 if not len(hashes):
                     continue
                 signed = hashes.view(np.int64)
-                place = np.searchsorted(known, signed)
-                place[place == len(known)] = 0
-                found = set()
-                for i in np.flatnonzero(known[place] == signed):
-                    here = passage(lower, starts, ends, int(i), n)
-                    found.update(item for words, item in owners[int(signed[i])] if words == here)
-                out_doc.extend([key] * len(found))
-                out_item.extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(out_doc, pa.int64()), pa.array(out_item, pa.int64())], [doc_key, item_key])
+                for i in np.flatnonzero(holds(shared.value, signed)).tolist():
+                    row = (doc, body, int(signed[i]), passage(lower, starts, ends, i, n), i, int(starts[i]), int(ends[i + n - 1]))
+                    for column, value in zip(out, row):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], names)
+
+    return run
+
+
+def shared_windows(documents: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """(windows of documents that may be an item's, windows of items (gram, passage, item)).
 
-    return docs.mapInArrow(scan, f"{doc_key} long, {item_key} long").distinct()
+    Only a bitmap of the items' window hashes travels to the tasks: its size follows the number of distinct hashes up to
+    32 MB and no further, whatever the items; a fuller one lets more windows pass, and the join on hash and words that
+    follows drops them. The corpus is scanned once where it lies; only its possible hits move.
+    """
+    owned = cut(gram_table(items, item_key, text, n).select("gram", "passage", F.col("key").alias("item")).distinct())
+    grams = owned.select("gram").distinct()
+    shared = documents.sparkSession.sparkContext.broadcast(build(grams, "gram", width(grams.count())))
+    docs = spread(documents.where(F.col(doc_key).isNotNull() & (F.length(text) > 0)).select(F.col(doc_key).cast("long").alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("text")))
+    return cut(docs.mapInArrow(_scan(shared, n), _HITS)), owned
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = WORDS) -> DataFrame:
+    """(doc_id, item_id): every document and item that share n consecutive words.
+
+    Words are the runs of a-z and 0-9 of the lower-cased text. Null, empty and shorter texts share nothing; rows with a
+    null key are left out; repeated rows count once.
+
+    A bitmap of the items' n-grams is broadcast, each document is scanned where it lies, and possible hits meet the
+    items' n-grams in a join on hash and words. A passage that holds a hundredth of all hits is dealt over 64 parts, so
+    boilerplate shared by many documents and items is no single task's work.
+    """
+    windows, owned = shared_windows(documents, items, doc_key, item_key, text, n)
+    found = windows.select("doc", "gram", "passage").distinct()
+    hot = sketch_candidates(windows, "gram").select("gram", F.lit(True).alias("hot"))  # at most 201 rows
+    left = found.join(F.broadcast(hot), "gram", "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))).drop("hot")
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = owned.join(F.broadcast(hot), "gram", "left").select("gram", "passage", "item", F.explode(parts).alias("part"))
+    return left.join(right, ["gram", "passage", "part"]).select(F.col("doc").alias(doc_key), F.col("item").alias(item_key)).distinct()
 
 
 def remove_leaks(documents: DataFrame, found: DataFrame, doc_key: str = "doc_id") -> DataFrame:
@@ -118,38 +126,37 @@ def remove_leaks(documents: DataFrame, found: DataFrame, doc_key: str = "doc_id"
     return documents.join(found.select(doc_key).distinct(), doc_key, "left_anti")
 
 
-def cut_passages(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = WORDS, max_broadcast: int = MAX_BROADCAST_GRAMS) -> DataFrame:
-    """(doc_id, clean_text, n_cut): each text without the words that stand in a shared n-word passage.
-
-    Offsets are taken in the lower-cased text; texts whose lower-casing changes their length
-    (a few letters do) are cut from the lower-cased form. Null texts stay null with 0 cut.
-    Item sets over ``max_broadcast`` n-grams are refused: cut by ``remove_leaks`` then.
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        clean, characters, words = [], [], []
+        for body, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            lower = (body or "").lower()
+            drop, covered = np.zeros(len(lower), bool), set()
+            for span in spans or []:
+                drop[span["char_from"] : span["char_to"]] = True
+                covered.update(range(span["word_from"], span["word_to"]))
+            if spans:
+                base = body if len(body) == len(lower) else lower
+                body = "".join(np.array(list(base), object)[~drop])
+            clean.append(body)
+            characters.append(int(drop.sum()))
+            words.append(len(covered))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(characters, pa.int64()), pa.array(words, pa.int64())], ["doc", "clean_text", "n_cut", "words_cut"])
+
+
+def cut_passages(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", n: int = WORDS) -> DataFrame:
+    """(doc_id, clean_text, n_cut, words_cut): each text without the words that stand in a shared n-word passage.
+
+    n_cut counts characters, the punctuation between cut words among them; words_cut counts words. Offsets are taken in
+    the lower-cased text; texts whose lower-casing changes their length (a few letters do) are cut from the lower-cased
+    form. Null texts stay null with 0 cut, rows with a null key are left out, repeated rows stay.
+    Any number of items is taken: hits come as in ``leaks``; the places of a text's hits, fewer than its words, meet it
+    in a join.
     """
-    grams = gram_table(items, item_key, text, n, True).select("gram", "passage").distinct()
-    rows = grams.limit(max_broadcast + 1).collect()
-    if len(rows) > max_broadcast:
-        raise ValueError("too many item n-grams to broadcast; use leaks() and remove_leaks()")
-    shared = documents.sparkSession.sparkContext.broadcast({r["passage"] for r in rows})
-    known = documents.sparkSession.sparkContext.broadcast(np.sort(np.array(list({r["gram"] for r in rows}), np.int64)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean, cuts = [], []
-            for body in batch.column(1).to_pylist():
-                n_cut = 0
-                if body and len(known.value):
-                    hashes, starts, ends, _, lower = word_grams(body, n)
-                    hit = np.flatnonzero(np.isin(hashes.view(np.int64), known.value)) if len(hashes) else []
-                    drop = np.zeros(len(lower) + 1, bool)
-                    for i in hit:
-                        if passage(lower, starts, ends, int(i), n) in shared.value:
-                            drop[starts[i] : ends[i + n - 1]] = True
-                    n_cut = int(drop.sum())
-                    if n_cut:
-                        base = body if len(body) == len(lower) else lower
-                        body = "".join(np.array(list(base), object)[~drop[: len(base)]])
-                clean.append(body)
-                cuts.append(n_cut)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(cuts, pa.int64())], [doc_key, "clean_text", "n_cut"])
-
-    return spread(documents.select(F.col(doc_key).cast("long").alias(doc_key), text)).mapInArrow(run, f"{doc_key} long, clean_text string, n_cut long")
+    windows, owned = shared_windows(documents, items, doc_key, item_key, text, n)
+    true = windows.join(owned.select("gram", "passage").distinct(), ["gram", "passage"], "left_semi")
+    place = F.struct("char_from", "char_to", "word_from", (F.col("word_from") + n).alias("word_to"))
+    spans = cut(true.groupBy(F.col("doc").alias("at_doc"), F.col("body").alias("at_body")).agg(F.collect_set(place).alias("spans")))
+    docs = documents.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).cast("long").alias("doc"), F.col(text).alias("text"))
+    placed = docs.join(spans, (F.col("doc") == F.col("at_doc")) & (F.xxhash64("text") == F.col("at_body")), "left").select("doc", "text", "spans")
+    return spread(placed).mapInArrow(_without, "doc long, clean_text string, n_cut long, words_cut long").withColumnRenamed("doc", doc_key)

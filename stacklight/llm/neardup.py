@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
+from .bitmap import build, holds
 from .text import codepoints, mix, prefix_hash, span_hash
 
 
@@ -308,30 +309,19 @@ def candidates(records: DataFrame, s: Settings) -> DataFrame:
     return found.where("key is null").select("a", "b").unionByName(tiles.mapInArrow(_tile_pairs(s), "a long, b long")).distinct()
 
 
-def _slot(ids: Column, bits: int) -> Column:
-    return F.pmod(ids, F.lit(bits))
-
-
 def wanted_bodies(records: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
     """(id, body) of the records whose id is in ``ids``, or shares its slot in a bitmap of fixed size.
 
-    The bitmap (filter_bits / 8 bytes, whatever the data) is built by Spark's bitmap
-    aggregates and broadcast. When it fills up, more records pass and the join that follows
-    still drops them; nothing is lost.
+    The bitmap (filter_bits / 8 bytes, whatever the data) is broadcast. When it fills up, more records pass and the
+    join that follows still drops them; nothing is lost.
     """
-    slots = ids.select(_slot(F.col("id"), s.filter_bits).alias("slot")).select((F.col("slot") / 32768).cast("long").alias("bucket"), F.pmod("slot", F.lit(32768)).alias("bit"))
-    maps = slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    bitmap = np.zeros(s.filter_bits // 8, np.uint8)
-    for r in maps:  # at most filter_bits / 32768 rows of 4096 bytes
-        bitmap[r["bucket"] * 4096 : r["bucket"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
-    shared = records.sparkSession.sparkContext.broadcast(bitmap)
+    shared = records.sparkSession.sparkContext.broadcast(build(ids, "id", s.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             own = batch.column(0).to_numpy()
-            slot = np.mod(own, s.filter_bits)
-            hit = np.flatnonzero(shared.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            hit = np.flatnonzero(holds(shared.value, own))
             if len(seen) > 1_000_000:
                 seen.clear()
             take = []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from .leakage import leaks, remove_leaks
+from .leakage import cut_passages, leaks, remove_leaks
 from .neardup import near_duplicates
 from .pii import personal_information, redact
 from .products import product_pairs, same_product
@@ -47,8 +47,8 @@ def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Three leading reviews of every product."""
-    once = table(spark, folder, "reviews").select("review_id", "parent_asin", "rating", "helpful_vote").where("parent_asin is not null and review_id is not null").distinct()
-    return top_n(once, "parent_asin", ["helpful_vote", "rating"], "review_id", 3, table(spark, folder, "reviews").count())
+    reviews = table(spark, folder, "reviews").where("parent_asin is not null and review_id is not null")
+    return top_n(reviews, "parent_asin", ["helpful_vote", "rating"], "review_id", 3)
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,6 +74,11 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return remove_leaks(docs.select("doc_id"), leaks(docs, table(spark, folder, "eval_items")))
 
 
+def p8_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that lose words when shared passages are cut out, and how many words."""
+    return cut_passages(table(spark, folder, "documents"), table(spark, folder, "eval_items")).where("words_cut > 0").select("doc_id", "words_cut")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Stretches of 300 characters and more that another document holds too."""
     return shared_spans(table(spark, folder, "documents"))
@@ -85,7 +90,7 @@ def p9_amount(spark: SparkSession, folder: str) -> DataFrame:
     return shared_amount(docs, shared_spans(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found, "p9_amount": p9_amount}
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p3_found": p3_found, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p7_ids": p7_ids, "p7_roundtrip": p7_roundtrip, "p8_found": p8_found, "p8_clean": p8_clean, "p8_cut": p8_cut, "p9_found": p9_found, "p9_amount": p9_amount}
 
 _P8 = """
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
@@ -102,5 +107,11 @@ SELECT parent_asin, place, review_id FROM (
 WHERE place <= 3""",
     "p7_roundtrip": "SELECT doc_id FROM documents WHERE doc_id IS NULL AND doc_id IS NOT NULL",
     "p8_found": _P8 + "SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)",
+    "p8_cut": """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+d AS (SELECT doc_id, j, array_to_string(w[j:j + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS j FROM dw WHERE len(w) >= 12)),
+i AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 10), lambda j: array_to_string(w[j:j + 11], ' '))) AS g FROM iw WHERE len(w) >= 12)
+SELECT doc_id, count(DISTINCT p) AS words_cut FROM (SELECT doc_id, unnest(range(j, j + 12)) AS p FROM d WHERE g IN (SELECT g FROM i)) GROUP BY doc_id""",
     "p8_clean": _P8 + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM d JOIN i USING (g))",
 }

@@ -2,10 +2,11 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stacklight.llm import leakage, spans, tokens, topn
+from stacklight.llm import bitmap, leakage, spans, tokens, topn
 
 VOCABULARY = f"{tokens.FOLDER}/byte_bpe_50k.tiktoken"
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary files here")
@@ -24,13 +25,12 @@ def best(rows, n):
     return out
 
 
-@pytest.mark.parametrize("light", [1000, 5])
-def test_top_n_equals_brute_force(spark, monkeypatch, light):
-    monkeypatch.setattr(topn, "LIGHT_ROWS", light)
-    g = random.Random(1)
+@pytest.mark.parametrize("copies", [1, 3])
+def test_top_n_equals_brute_force(spark, copies):
+    g = random.Random(copies)
     rows = [(g.choice(["hot"] * 6 + ["tied", "few", None] + [f"g{i}" for i in range(30)]), g.choice([None, 0, 0, 0, 1, 7, 300, -2]), g.choice([None, 1.0, 5.0, float("nan")]), i) for i in range(1500)]
     rows += [("tied", 0, 5.0, 5000 + i) for i in range(400)]
-    df = spark.createDataFrame(rows, "place string, votes long, c double, id long").withColumn("__bin", F.lit(1)).repartition(6)
+    df = spark.createDataFrame(rows * copies, "place string, votes long, c double, id long").withColumn("__bin", F.lit(1)).repartition(6)
     got = {tuple(r) for r in topn.top_n(df, "place", ["votes", "c"], "id", 3).toDF("g", "p", "id").collect()}
     assert got == best(rows, 3)
     assert topn.top_n(df.limit(0), "place", ["votes", "c"], "id", 3).count() == 0
@@ -100,8 +100,9 @@ def shared(docs, items, n):
     return {(d, k) for d, t in docs if d is not None for k, g in known if k is not None and g & grams(t)}
 
 
-@pytest.mark.parametrize("limit", [2_000_000, 3])
-def test_leaks_equal_brute_force(spark, limit):
+@pytest.mark.parametrize("most", [1 << 28, bitmap.PART])
+def test_leaks_equal_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(leakage, "width", lambda n: bitmap.width(n, most=most))
     g = random.Random(3)
     vocabulary = [f"w{i}" for i in range(30)] + ["Ünder", "İx", "a1"]
     text = lambda n: " ".join(g.choice(vocabulary) + g.choice(["", ",", "\n", "--"]) for _ in range(n))
@@ -110,13 +111,28 @@ def test_leaks_equal_brute_force(spark, limit):
     docs += [(100 + i, text(10) + " " + g.choice(items[:20])[1].upper() + "! " + text(5)) for i in range(30)] + [(200, None), (201, ""), (None, items[0][1]), (202, items[1][1] * 3000), (203, "x" * 100000)]
     df, it = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     for n in (4, 8):
-        found = leakage.leaks(df, it, n=n, max_broadcast=limit)
+        found = leakage.leaks(df, it, n=n)
         assert {tuple(r) for r in found.collect()} == shared(docs, items, n)
     assert leakage.leaks(df.limit(0), it, n=4).count() == 0 and leakage.leaks(df, it.limit(0), n=4).count() == 0
     kept = {r["doc_id"] for r in leakage.remove_leaks(df, leakage.leaks(df, it, n=8)).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in shared(docs, items, 8)}
 
 
+def test_a_passage_in_very_many_items(spark):
+    same = " ".join(f"w{i}" for i in range(12))
+    items = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(same).alias("text"))
+    docs = spark.createDataFrame([(i, f"x {same} y") for i in range(5)] + [(9, "else")], "doc_id long, text string")
+    assert leakage.leaks(docs, items).count() == 500_000
+    assert {(r["doc_id"], r["words_cut"]) for r in leakage.cut_passages(docs, items).collect()} == {(i, 12) for i in range(5)} | {(9, 0)}
+
+
+def test_the_bitmap_is_bounded_and_misses_nothing(spark):
+    assert bitmap.width(0) == bitmap.PART and bitmap.width(10**9) == 1 << 28 and bitmap.width(1000) == 1 << 20
+    some = [g * 7919 * (-1) ** g for g in range(5000)]
+    bits = bitmap.build(spark.createDataFrame([(x,) for x in some], "h long"), "h", bitmap.PART)
+    assert bitmap.holds(bits, np.array(some)).all() and len(bits) == bitmap.PART // 8
+
+
 def test_cut_passages(spark):
     df = spark.createDataFrame([(1, "Start. THE quick brown-fox jumps! End"), (2, None), (3, "nothing here"), (4, "")], "doc_id long, text string")
     it = spark.createDataFrame([(9, "the quick brown fox jumps")], "item_id long, text string")
