@@ -57,6 +57,7 @@ def split_join(facts: DataFrame, dims: DataFrame, key: str, how: str = "left", s
     Heavy keys of ``facts`` meet a broadcast of their few ``dims`` rows and never shuffle;
     the remaining keys take an ordinary shuffle join; both parts are united. ``how`` is
     ``inner`` or ``left``. Null keys match nothing; with ``left`` they are kept.
+    A null key can match nothing, so with ``left`` its rows get their nulls where they lie, however many they are.
     Columns of ``dims`` must not clash with those of ``facts`` but for the key.
     """
     if how not in ("inner", "left"):
@@ -68,8 +69,12 @@ def split_join(facts: DataFrame, dims: DataFrame, key: str, how: str = "left", s
     marked = facts.join(F.broadcast(hot), key, "left")
     hot_dims = dims.join(F.broadcast(hot.select(key)), key, "left_semi")
     first = marked.where(F.col("__hot")).drop("__hot").join(F.broadcast(hot_dims), key, how)
-    second = marked.where(F.col("__hot").isNull()).drop("__hot").join(dims, key, how)
-    return first.unionByName(second)
+    second = marked.where(F.col("__hot").isNull() & F.col(key).isNotNull()).drop("__hot").join(dims, key, how)
+    both = first.unionByName(second)
+    if how == "inner":
+        return both
+    unmatched = facts.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in dims.schema if f.name != key])
+    return both.unionByName(unmatched)
 
 
 def per_key_stats(df: DataFrame, key: str, value: Column, share: float = HEAVY_SHARE) -> DataFrame:
@@ -88,3 +93,28 @@ def per_key_stats(df: DataFrame, key: str, value: Column, share: float = HEAVY_S
     heavy = salted.groupBy(key).agg(*whole).withColumn("is_heavy", F.lit(True))
     rest = marked.where(F.col("__hot").isNull()).groupBy(key).agg(*parts).groupBy(key).agg(*whole).withColumn("is_heavy", F.lit(False))
     return heavy.unionByName(rest).select(key, "is_heavy", "n_rows", "n_values", "sum_value", "min_value", "max_value")
+
+
+def salted(df: DataFrame, key: str, by: str, share: float = HEAVY_SHARE, rows: int = 1000) -> DataFrame:
+    """The rows with ``salt``: 0, but a number from the hash of ``by`` for heavy keys, about ``rows`` rows a number.
+
+    What is broadcast is one row per heavy key, at most 1 / share. Null keys have salt 0.
+    """
+    hot = heavy_keys(df, key, share).select(key, F.ceil(F.col("n_rows") / rows).alias("parts"))
+    return df.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), "parts"), F.lit(0).cast("long"))).drop("parts")
+
+
+def class_pairs(members: DataFrame, cls: str, key: str, share: float = HEAVY_SHARE) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: every pair of different keys of one class, each once.
+
+    Members may repeat. A heavy class is met in tiles of about 1,000 by 1,000 keys, so no task has one whole.
+    Null classes and keys are in no pair.
+    """
+    once = members.where(F.col(cls).isNotNull() & F.col(key).isNotNull()).select(cls, key).distinct()
+    dealt = salted(once, cls, key, share)
+    last = dealt.where("salt > 0").groupBy(cls).agg(F.max("salt").alias("last"))  # heavy classes alone
+    zero = F.lit(0).cast("long")
+    every = once.join(F.broadcast(last), cls, "left").withColumn("salt", F.explode(F.sequence(zero, F.coalesce("last", zero)))).drop("last")
+    x = dealt.select(cls, "salt", F.col(key).alias(f"{key}_a"))
+    y = every.select(cls, "salt", F.col(key).alias(f"{key}_b"))
+    return x.join(y, [cls, "salt"]).where(F.col(f"{key}_a") < F.col(f"{key}_b")).select(f"{key}_a", f"{key}_b")
