@@ -9,9 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import class_pairs
 from ..session import cut, spread
 from .bitmap import build, holds
 from .text import codepoints, mix, prefix_hash, span_hash
@@ -24,8 +26,8 @@ class Settings:
     similarity: float = 0.7
     least_words: int = 30
     #: Bands of ``rows`` min-hashes each over the record's neighbouring word pairs.
-    bands: int = 44
-    rows: int = 5
+    bands: int = 40
+    rows: int = 4
     #: A candidate is dropped once its chance of reaching the similarity falls below this.
     miss: float = 1e-4
     #: Signature bits compared at a time, of 116.
@@ -158,11 +160,23 @@ def survivors(x: np.ndarray, y: np.ndarray, mx: np.ndarray, my: np.ndarray, s: S
     return at
 
 
+#: Counters by which a task notices that a band key is frequent, and the id of the row that announces one.
+SLOTS, MARK = 1 << 20, -(2**63)
+
+
 def _band_rows(s: Settings):
-    """mapInArrow body: (id, body) -> a row per band; a task sends equal texts once."""
+    """mapInArrow body: (id, body) -> a row per band; a task sends equal texts once.
+
+    Rows have chunk -1 and are shuffled by key, until the task has counted more than ``tile`` rows of a key. From
+    then on its rows of that key are numbered by chunks of their own, which spreads them over the shuffle, and a row
+    with the least id announces them to the bucket. Counters are shared by keys, so a key may be taken for frequent early; that
+    changes the way its rows take, not the pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_part = ((TaskContext.get().partitionId() if TaskContext.get() else 0) + 1) << 32
         seen: set[int] = set()
+        counts, frequent = np.zeros(SLOTS, np.uint32), {}
         for batch in batches:
             ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if len(seen) > 1_000_000:
@@ -176,25 +190,40 @@ def _band_rows(s: Settings):
                 part = fresh[a : a + CHUNK]
                 records, sketch, more, keys = signatures([bodies[i] for i in part], s)
                 own = np.array([ids[i] for i in part], np.int64)[records]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(own, s.bands)), pa.array(np.repeat(sketch, s.bands)), pa.array(np.repeat(more, s.bands))], ["key", "id", "sketch", "more"])
+                keys = keys.ravel()
+                slots = keys & (SLOTS - 1)
+                hot = np.flatnonzero(counts[slots] > s.tile)
+                np.add.at(counts, slots, 1)
+                chunk = np.full(len(keys), -1, np.int64)
+                new = []
+                for i, k in zip(hot.tolist(), keys[hot].tolist()):
+                    if k not in frequent:
+                        new.append(k)
+                    frequent[k] = n = frequent.get(k, -1) + 1
+                    chunk[i] = own_part + n // s.tile
+                columns = [keys, np.repeat(own, s.bands), np.repeat(sketch, s.bands), np.repeat(more, s.bands), chunk]
+                if new:
+                    marks = [new, [MARK] * len(new), [0] * len(new), [0] * len(new), [-1] * len(new)]
+                    columns = [np.concatenate([c, np.array(m, np.int64)]) for c, m in zip(columns, marks)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "id", "sketch", "more", "chunk"])
 
     return run
 
 
-_BUCKET = "a long, b long, key long, sketch long, more long, chunk int"
+_BUCKET = "a long, b long, key long, sketch long, more long, chunk long"
 
 
 def _bucket_pairs(s: Settings):
-    """mapInArrow body over rows sorted by key: surviving pairs, and the members of oversized buckets.
+    """mapInArrow body over rows sorted by chunk, key and id: surviving pairs, and the members of oversized buckets.
 
-    Pairs have a null key. A bucket of more than ``tile`` records isn't compared here; its
-    members pass on, numbered by chunks of ``tile``.
+    Pairs have a null key. A bucket of more than ``tile`` records, or with an announcement of further rows, isn't
+    compared here; its members pass on, numbered by chunks of ``tile``. Rows that have a chunk already pass on as they are.
     """
 
     def emit(a, b, key=None, sketch=None, n=None, chunk=None):
         m = len(a)
         null = lambda kind: pa.nulls(m, kind)
-        cols = [pa.array(a), pa.array(b) if b is not None else null(pa.int64()), pa.array(key) if key is not None else null(pa.int64()), pa.array(sketch) if key is not None else null(pa.int64()), pa.array(n) if key is not None else null(pa.int64()), pa.array(chunk) if key is not None else null(pa.int32())]
+        cols = [pa.array(a), pa.array(b) if b is not None else null(pa.int64()), pa.array(key) if key is not None else null(pa.int64()), pa.array(sketch) if key is not None else null(pa.int64()), pa.array(n) if key is not None else null(pa.int64()), pa.array(chunk) if key is not None else null(pa.int64())]
         return pa.RecordBatch.from_arrays(cols, ["a", "b", "key", "sketch", "more", "chunk"])
 
     def work(key, ids, sketch, n):
@@ -222,7 +251,15 @@ def _bucket_pairs(s: Settings):
         held: list[tuple] = []
         big, passed = None, 0  # the oversized bucket under way and its members so far
         for batch in batches:
-            held.append(tuple(batch.column(k).to_numpy() for k in range(4)))
+            rows = tuple(batch.column(k).to_numpy() for k in range(5))
+            numbered = rows[4] >= 0
+            if numbered.any():
+                key, ids, sketch, n, chunk = (c[numbered] for c in rows)
+                yield emit(ids, None, key, sketch, n, chunk)
+                rows = tuple(c[~numbered] for c in rows)
+                if not len(rows[0]):
+                    continue
+            held.append(rows[:4])
             rows = tuple(np.concatenate(c) for c in zip(*held)) if len(held) > 1 else held[0]
             last = rows[0][-1]
             start = int(np.flatnonzero(rows[0] != last)[-1]) + 1 if rows[0][0] != last else 0
@@ -232,10 +269,11 @@ def _bucket_pairs(s: Settings):
                 big, passed = None, 0
             elif last != big:  # the batch begins with another key: the bucket under way ended at the boundary
                 big, passed = None, 0
-            if big is None and len(tail[0]) > s.tile:
+            if big is None and (len(tail[0]) > s.tile or tail[1][0] == MARK):
                 big, passed = last, 0
             if big is not None:
-                yield emit(tail[1], None, tail[0], tail[2], tail[3], ((passed + np.arange(len(tail[0]))) // s.tile).astype(np.int32))
+                tail = tuple(c[tail[1] != MARK] for c in tail)
+                yield emit(tail[1], None, tail[0], tail[2], tail[3], (passed + np.arange(len(tail[0]))) // s.tile)
                 passed += len(tail[0])
                 held = []
             else:
@@ -247,16 +285,17 @@ def _bucket_pairs(s: Settings):
         key, ids, sketch, n = rows
         if big is not None and len(key) and key[0] == big:  # the rest of the bucket under way
             k = int((key == big).sum())
-            yield emit(ids[:k], None, key[:k], sketch[:k], n[:k], ((passed + np.arange(k)) // s.tile).astype(np.int32))
+            yield emit(ids[:k], None, key[:k], sketch[:k], n[:k], (passed + np.arange(k)) // s.tile)
             key, ids, sketch, n = key[k:], ids[k:], sketch[k:], n[k:]
         if not len(key):
             return
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(heads, len(key)))
-        large = np.repeat(size > s.tile, size)
+        large = np.repeat((size > s.tile) | (ids[heads] == MARK), size)
         if large.any():
             rank = np.arange(len(key)) - np.repeat(heads, size)
-            yield emit(ids[large], None, key[large], sketch[large], n[large], (rank[large] // s.tile).astype(np.int32))
+            out = large & (ids != MARK)
+            yield emit(ids[out], None, key[out], sketch[out], n[out], rank[out] // s.tile)
             key, ids, sketch, n = key[~large], ids[~large], sketch[~large], n[~large]
         if len(key) and (out := work(key, ids, sketch, n)) is not None:
             yield out
@@ -294,19 +333,16 @@ def _tile_pairs(s: Settings):
 
 def candidates(records: DataFrame, s: Settings) -> DataFrame:
     """(a, b), a < b: distinct candidate pairs of record ids. records: (id long, body string)."""
-    rows = records.mapInArrow(_band_rows(s), "key long, id long, sketch long, more long")
-    found = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(s), _BUCKET).groupBy("a", "b", "key", "sketch", "more", "chunk").agg(F.count(F.lit(1)).alias("c")).drop("c"))
+    rows = records.mapInArrow(_band_rows(s), "key long, id long, sketch long, more long, chunk long")
+    sorted_rows = rows.repartition("key", "chunk").sortWithinPartitions("chunk", "key", "id")
+    found = cut(sorted_rows.mapInArrow(_bucket_pairs(s), _BUCKET).groupBy("a", "b", "key", "sketch", "more", "chunk").agg(F.count(F.lit(1)).alias("c")).drop("c"))
     big = found.where("key is not null").select("key", "a", "sketch", "more", "chunk")
-    last = big.groupBy("key").agg(F.max("chunk").alias("last"))
-    # every member meets all chunks of its bucket: tile (p, q) has at most 2 * tile rows
-    tiles = (
-        big.join(last, "key")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-        .select("key", F.least("chunk", "other").alias("p"), F.greatest("chunk", "other").alias("q"), "chunk", "a", "sketch", "more")
-        .repartition("key", "p", "q")
-        .sortWithinPartitions("key", "p", "q")
-    )
-    return found.where("key is null").select("a", "b").unionByName(tiles.mapInArrow(_tile_pairs(s), "a long, b long")).distinct()
+    chunks = big.select("key", "chunk").distinct()
+    # every chunk meets every chunk of its bucket: tile (p, q) has at most 2 * tile rows, which come by chunk, not by key
+    tiles = chunks.withColumnRenamed("chunk", "p").join(chunks.withColumnRenamed("chunk", "q"), "key").where("p <= q")
+    sides = [big.join(tiles.where(w).withColumn("chunk", F.col(c)), ["key", "chunk"]) for c, w in (("p", "true"), ("q", "p < q"))]
+    dealt = sides[0].unionByName(sides[1]).select("key", "p", "q", "chunk", "a", "sketch", "more").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return found.where("key is null").select("a", "b").unionByName(dealt.mapInArrow(_tile_pairs(s), "a long, b long")).distinct()
 
 
 def wanted_bodies(records: DataFrame, ids: DataFrame, s: Settings) -> DataFrame:
@@ -383,8 +419,8 @@ def text_pairs(records: DataFrame, s: Settings) -> DataFrame:
 
 def _records(df: DataFrame, key: str, title: str, text: str, s: Settings) -> DataFrame:
     body = record_text(title, text)
-    # n words need at least 2 n - 1 characters
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), body.alias("body")).where(F.length("body") >= 2 * s.least_words - 1).withColumn("id", F.xxhash64("body"))
+    # n words need at least 2 n - 1 characters of the lower-cased text, which may be longer than the text
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), body.alias("body")).where(F.length(F.lower("body")) >= 2 * s.least_words - 1).withColumn("id", F.xxhash64("body"))
 
 
 def near_duplicates(df: DataFrame, key: str = "review_id", title: str = "title", text: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -408,6 +444,5 @@ def near_duplicates(df: DataFrame, key: str = "review_id", title: str = "title",
     across = pairs.join(x, "a").join(y, "b").select("key_a", "key_b")
     enough = F.regexp_count(F.lower("body"), F.lit("[a-z0-9]+")) >= s.least_words
     copied = rows.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.bool_or(enough).alias("ok")).where("lo <> hi and ok").select("id")
-    some = members.join(copied, "id", "left_semi")
-    same = some.select("id", F.col("key").alias("key_a")).join(some.select("id", F.col("key").alias("key_b")), "id").where("key_a < key_b").select("key_a", "key_b")
+    same = class_pairs(members.join(copied, "id", "left_semi"), "id", "key")
     return across.unionByName(same).select(F.least("key_a", "key_b").alias(f"{key}_a"), F.greatest("key_a", "key_b").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b")).distinct()
