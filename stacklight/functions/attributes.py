@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,15 +68,37 @@ def all_attributes(title: Column) -> Column:
     return F.struct(*[f(title).alias(name) for name, f in ALL.items()])
 
 
-#: Named entities resolved without Python; others need html.unescape.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&amp;": "&"}
+#: The named entities of HTML 5 that end in a semicolon, from the standard library's table.
+ENTITIES = {name: char for name, char in html.entities.html5.items() if name.endswith(";")}
+
+
+def unescape(text: Column) -> Column:
+    """Named, decimal and hexadecimal entities resolved, once; what is none stays, as do entities without a semicolon.
+
+    Numbers that are no character become the replacement character.
+    """
+    names = literal_map(ENTITIES)
+    parts = F.split(text, "&")
+    body = lambda p: F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+
+    def resolved(p: Column) -> Column:
+        name = body(p)
+        number = F.when(name.startswith("#x") | name.startswith("#X"), F.conv(F.substring(name, F.lit(3), F.lit(6)), 16, 10).cast("int")).when(name.startswith("#"), F.substring(name, F.lit(2), F.lit(7)).cast("int"))
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        # a character beyond the basic plane is two UTF-16 units
+        high, low = F.floor((number - 0x10000) / 0x400) + 0xD800, (number - 0x10000) % 0x400 + 0xDC00
+        unit = lambda n: F.lpad(F.hex(n), 4, "0")
+        char = F.decode(F.unhex(F.when(number < 0x10000, unit(number)).otherwise(F.concat(unit(high), unit(low)))), "UTF-16BE")
+        made = F.when(name == "", None).when(name.startswith("#"), F.when(valid, char).otherwise(F.lit("\ufffd"))).otherwise(F.try_element_at(names, F.concat(name, F.lit(";"))))
+        rest = F.substring(p, F.length(name) + 2, F.length(p))
+        return F.when(made.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(made, rest))
+
+    tail = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), resolved)
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(tail, ""))).otherwise(text)
 
 
 def normalize_title(title: Column) -> Column:
     """Entities resolved, white space collapsed, punctuation at the ends dropped (not &), lower case."""
-    out = title
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(out, r"(?U)\s+", " ")
+    out = F.regexp_replace(unescape(title), r"(?U)\s+", " ")
     out = F.regexp_replace(F.trim(out), r"(?U)^[^\w&]+|[^\w&]+$", "")
     return F.lower(out)

@@ -8,18 +8,17 @@ from pyspark.sql import functions as F
 from . import attributes, vocab
 
 
-def _names(title: Column, words: list[str], pairs: list[tuple[str, str]]) -> Column:
-    joined = [rf"{a}[ -]?{b}" for a, b in pairs]
-    return F.coalesce(title, F.lit("")).rlike(r"(?iU)\b(" + "|".join([*words, *joined]) + r")\b")
+def _names(title: Column, pattern: str) -> Column:
+    return F.coalesce(title, F.lit("")).rlike("(?iU)" + pattern)
 
 
 def is_footwear(category: Column, title: Column) -> Column:
-    return F.lower(F.coalesce(category, F.lit(""))).isin(vocab.FOOTWEAR_CATEGORIES) | _names(title, vocab.FOOTWEAR_WORDS, vocab.FOOTWEAR_PAIRS)
+    return F.lower(F.coalesce(category, F.lit(""))).isin(vocab.FOOTWEAR_CATEGORIES) | _names(title, vocab.FOOTWEAR_PATTERN)
 
 
 def is_accessory(category: Column, title: Column) -> Column:
     """Accessory by category or title; footwear never is."""
-    named = F.lower(F.coalesce(category, F.lit(""))).isin(vocab.ACCESSORY_CATEGORIES) | _names(title, vocab.ACCESSORY_WORDS, vocab.ACCESSORY_PAIRS)
+    named = F.lower(F.coalesce(category, F.lit(""))).isin(vocab.ACCESSORY_CATEGORIES) | _names(title, vocab.ACCESSORY_PATTERN)
     return ~is_footwear(category, title) & named
 
 
@@ -58,3 +57,12 @@ def star_fill(rating: Column) -> Column:
     """Five words, full, half or empty, for a rating; a null rating is empty."""
     r = F.coalesce(rating, F.lit(0.0))
     return F.array(*[F.when(r >= n - 0.25, "full").when(r >= n - 0.75, "half").otherwise("empty") for n in range(1, 6)])
+
+
+def card(row_id: Column, title: Column, gender: Column, category: Column, images: Column, rating: Column, highlights: Column) -> Column:
+    """A result as shown: struct of (product_id, title, images, average_rating, review_highlights, garment_type, gender, is_accessory, is_footwear)."""
+    return F.struct(
+        row_id.alias("product_id"), title.alias("title"), images.alias("images"), rating.alias("average_rating"), highlights.alias("review_highlights"),
+        garment_region(category, title).alias("garment_type"), effective_gender(gender, category, title).alias("gender"),
+        is_accessory(category, title).alias("is_accessory"), is_footwear(category, title).alias("is_footwear"),
+    )

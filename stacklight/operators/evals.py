@@ -85,3 +85,18 @@ def verdicts(row: DataFrame, thresholds: dict[str, tuple[str, float]] | None = N
     rules = THRESHOLDS if thresholds is None else thresholds
     tests = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"), F.coalesce((F.col(n) <= v) if op == "<=" else (F.col(n) >= v), F.lit(False)).alias("passed")) for n, (op, v) in rules.items()]
     return row.select(F.explode(F.array(*tests)).alias("t")).select("t.*")
+
+
+def robustness(probes: DataFrame) -> DataFrame:
+    """(robustness_pass_rate): share of the probes (status, allowed) that were answered with an allowed status.
+
+    Bad requests must be refused cleanly. A missing status fails; no probes give null.
+    """
+    ok = F.coalesce(F.array_contains("allowed", F.col("status")), F.lit(False))
+    return probes.agg(F.round(F.avg(ok.cast("int")), 3).alias("robustness_pass_rate"))
+
+
+def request_id_rate(calls: DataFrame) -> DataFrame:
+    """(request_id_present_rate): share of the successful calls (status, request_id) that carry a request id."""
+    present = F.coalesce(F.length("request_id") > 0, F.lit(False)).cast("int")
+    return calls.agg(F.round(F.avg(F.when(F.col("status") == 200, present)), 3).alias("request_id_present_rate"))

@@ -81,7 +81,9 @@ def dangling(references: DataFrame, parents: DataFrame, withdrawn: DataFrame) ->
         .when(F.col("at_us") < F.col("first_us"), "late")
         .when(F.col("at_us") >= F.col("gone_us"), "deleted")
     )
-    period = F.coalesce(F.date_format(F.timestamp_micros("at_us"), "yyyy-MM"), F.lit("unknown"))
+    # by whole days since 1970, so that the session's time zone has no say
+    day = F.date_from_unix_date(F.floor(F.col("at_us") / F.lit(86_400_000_000.0)).cast("int"))
+    period = F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("unknown"))
     return (
         split_join(refs, state, "key", "inner")
         .withColumn("reason", reason)

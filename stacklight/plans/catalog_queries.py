@@ -12,7 +12,6 @@ from ..functions import reviews as R
 from ..operators import catalog, evals, relational, retrieval, vector
 from ..operators import reviews as review_ops
 from ..sources.tables import table
-from ..streaming import ingest
 from . import catalog_sql as S
 from .search_plan import Filters, fetch_size, gender_pools, subqueries
 
@@ -126,13 +125,14 @@ def attr_all(spark, folder):
     return got.groupBy(*attributes.ALL).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _entities(col: str) -> str:
-    for entity, char in attributes.ENTITIES.items():
-        col = f"replace({col}, {S.text(entity)}, {S.text(char)})"
-    return col
+_ENTITY = r"""CASE WHEN regexp_matches(p, '^#[0-9]{1,7};') THEN chr(regexp_extract(p, '^#([0-9]{1,7});', 1)::INT) || regexp_replace(p, '^#[0-9]{1,7};', '')
+WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{1,6};') THEN chr(('0x' || regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,6});', 1))::INT) || regexp_replace(p, '^#[xX][0-9a-fA-F]{1,6};', '')
+WHEN map_contains(m, regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')) THEN m[regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')] || regexp_replace(p, '^[A-Za-z][A-Za-z0-9]*;', '') ELSE '&' || p END"""
+_UNESCAPED = f"""u AS (SELECT parent_asin, CASE WHEN contains(title, '&') THEN string_split(title, '&')[1] || array_to_string(list_transform(string_split(title, '&')[2:], lambda p: {_ENTITY}), '') ELSE title END AS title
+FROM products, (SELECT map({S.values(list(attributes.ENTITIES))}, {S.values(list(attributes.ENTITIES.values()))}) AS m))"""
 
 
-@query(rf"WITH {S.PRODUCTS} SELECT parent_asin, lower(regexp_replace(trim(regexp_replace({_entities('title')}, '[\s\x{{00A0}}]+', ' ', 'g')), '^[^\pL\pN\pM_&]+|[^\pL\pN\pM_&]+$', '', 'g')) AS normalized FROM products")
+@query(rf"WITH {S.PRODUCTS}, {_UNESCAPED} SELECT parent_asin, lower(regexp_replace(trim(regexp_replace(title, '[\s\x{{00A0}}]+', ' ', 'g')), '^[^\pL\pN\pM_&]+|[^\pL\pN\pM_&]+$', '', 'g')) AS normalized FROM u")
 def title_normalize(spark, folder):
     return products(spark, folder).select("parent_asin", attributes.normalize_title(F.col("title")).alias("normalized"))
 
@@ -255,15 +255,6 @@ def similar_items(spark, folder):
     return vector.nearest_many(rows, asked, 7, "vec_id", "embedding", keep_self=False)
 
 
-@query()
-def text_embedding(spark, folder):
-    """Hashed unit vectors of the catalogue's texts, with their norms."""
-    rows = vector.hashed_embedding(catalog.embeddable(enriched(spark, folder)), "combined_text")
-    from pyspark.ml.functions import vector_to_array
-
-    return rows.select("parent_asin", F.round(F.aggregate(vector_to_array("vec"), F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
-
-
 # --- retrieval ---------------------------------------------------------------
 
 _SOFT = Filters(gender="kids", color="beige", style="casual", size="s", min_rating=4.0, sentiment="positive")
@@ -562,12 +553,3 @@ def conformance(spark, folder):
     results = _sections(spark, folder).join(styles, "id").withColumn("rank", F.row_number().over(order)).withColumnRenamed("garment_region", "region")
     cases = styles.select("call_id").distinct().select("call_id", F.lit(True).alias("outfit"), F.lit("women").alias("want_gender"), F.array(*map(F.lit, _NEEDLES)).alias("title_any"), F.lit(0).alias("filter_hits"), F.lit(0).alias("filter_total"))
     return evals.call_scores(results, cases).select("call_id", "n_results", F.round("category_conformance", 6).alias("category_conformance"), F.round("gender_conformance", 6).alias("gender_conformance"), "outfit_coverage")
-
-
-# --- batches -----------------------------------------------------------------
-
-
-@query()
-def batch_plan(spark, folder):
-    """Products per hash batch."""
-    return ingest.batch_sizes(products(spark, folder), 8)

@@ -85,17 +85,12 @@ mixed AS (SELECT parent_asin, list_concat(list_concat(
 DESCRIPTION = "nullif(array_to_string(list_filter(list_transform(description, lambda x: trim(x)), lambda x: x <> ''), ' '), '')"
 
 
-def word_list(words, pairs) -> str:
-    """Pattern of whole ASCII words, each side a non-word character or the end."""
-    return r"(?i)\b(" + "|".join([*words, *(f"{a}[ -]?{b}" for a, b in pairs)]) + r")\b"
-
-
 def footwear(cat: str, title: str) -> str:
-    return f"(lower(coalesce({cat}, '')) IN ('shoes', 'sneakers') OR regexp_matches(coalesce({title}, ''), {text(word_list(vocab.FOOTWEAR_WORDS, vocab.FOOTWEAR_PAIRS))}))"
+    return f"(lower(coalesce({cat}, '')) IN ('shoes', 'sneakers') OR regexp_matches(coalesce({title}, ''), {text('(?i)' + vocab.FOOTWEAR_PATTERN)}))"
 
 
 def accessory(cat: str, title: str) -> str:
-    return f"(NOT {footwear(cat, title)} AND (lower(coalesce({cat}, '')) IN ('hat', 'cap') OR regexp_matches(coalesce({title}, ''), {text(word_list(vocab.ACCESSORY_WORDS, vocab.ACCESSORY_PAIRS))})))"
+    return f"(NOT {footwear(cat, title)} AND (lower(coalesce({cat}, '')) IN ('hat', 'cap') OR regexp_matches(coalesce({title}, ''), {text('(?i)' + vocab.ACCESSORY_PATTERN)})))"
 
 
 def effective_gender(g: str, cat: str, title: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -41,16 +42,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Cut the lineage: write the rows as a table in the shared folder and go on from there.
 
     Unlike a checkpoint, the table has its true size in the planner's statistics (a checkpoint carries the estimate of
     its plan along, and estimates of joins multiply from round to round), and is stored by column. It is deleted
-    when the session's process ends, or by ``forget``.
+    when the session's process ends, or by ``forget``. With ``by``, a folder per value of that column (few values).
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,17 +60,23 @@ def cut(df: DataFrame) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Delete a table that ``cut`` wrote; nothing may read it afterwards."""
     spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        place = spark._jvm.org.apache.hadoop.fs.Path(file)
-        if place.getName().startswith("table-"):
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    for path in {m[0] for m in (re.match(r".*/table-[0-9a-f]{32}(?=/)", f) for f in df.inputFiles()) if m}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def shuffle_parts(df: DataFrame, growth: float, part_bytes: int = 64 << 20) -> int:
+    """Partitions for a shuffle of rows that grow the frame's estimated bytes ``growth`` times: the session's number, or more if a part would pass ``part_bytes``."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(size * growth / part_bytes) + 1))
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan of few files at least one task per core before per-row work.
 
-    Large inputs already have more splits than cores and are left alone, so this
-    never shuffles them.
+    For scans with filters and projections only: counting the splits of anything else would run its shuffles. Large
+    inputs already have more splits than cores and are left alone, so this never shuffles them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

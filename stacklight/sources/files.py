@@ -69,3 +69,18 @@ def append_log(df: DataFrame, path: str) -> None:
 def write_report(df: DataFrame, path: str) -> None:
     """A small result as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def ensure_index(spark: SparkSession, path: str, schema: str, dimension: int, metric: str = "cosine") -> bool:
+    """Create an index table of a vector length and metric if there is none; whether it was created.
+
+    Both are kept beside the table; an index of another length or metric is an error.
+    """
+    ensure_table(spark, path, schema)
+    about = ensure_table(spark, f"{path}.about", "dimension int, metric string")
+    told = about.first()
+    if told is None:
+        spark.createDataFrame([(dimension, metric)], about.schema).write.mode("append").parquet(f"{path}.about")
+    elif (told["dimension"], told["metric"]) != (dimension, metric):
+        raise ValueError(f"{path} is an index of {told['dimension']} dimensions by {told['metric']}")
+    return told is None
