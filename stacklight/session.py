@@ -68,7 +68,7 @@ def forget(df: DataFrame) -> None:
 def shuffle_parts(df: DataFrame, growth: float, part_bytes: int = 64 << 20) -> int:
     """Partitions for a shuffle of rows that grow the frame's estimated bytes ``growth`` times: the session's number, or more if a part would pass ``part_bytes``."""
     spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(size * growth / part_bytes) + 1))
 
 
