@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import class_pairs
-from ..session import cut, spread
+from ..session import cut, shuffle_parts, spread
 from .bitmap import build, holds
 from .text import codepoints, mix, prefix_hash, span_hash
 
@@ -26,8 +26,8 @@ class Settings:
     similarity: float = 0.7
     least_words: int = 30
     #: Bands of ``rows`` min-hashes each over the record's neighbouring word pairs.
-    bands: int = 40
-    rows: int = 4
+    bands: int = 48
+    rows: int = 5
     #: A candidate is dropped once its chance of reaching the similarity falls below this.
     miss: float = 1e-4
     #: Signature bits compared at a time, of 116.
@@ -167,16 +167,16 @@ SLOTS, MARK = 1 << 20, -(2**63)
 def _band_rows(s: Settings):
     """mapInArrow body: (id, body) -> a row per band; a task sends equal texts once.
 
-    Rows have chunk -1 and are shuffled by key, until the task has counted more than ``tile`` rows of a key. From
+    Rows have chunk -1 and are shuffled by key, until the task has counted about ``tile`` rows of a key. From
     then on its rows of that key are numbered by chunks of their own, which spreads them over the shuffle, and a row
-    with the least id announces them to the bucket. Counters are shared by keys, so a key may be taken for frequent early; that
+    with an id of its own announces them to the bucket. Counters are shared by keys, so a key may be taken for frequent early; that
     changes the way its rows take, not the pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_part = ((TaskContext.get().partitionId() if TaskContext.get() else 0) + 1) << 32
         seen: set[int] = set()
-        counts, frequent = np.zeros(SLOTS, np.uint32), {}
+        counts, frequent, turn = np.zeros(SLOTS, np.uint32), {}, 0
         for batch in batches:
             ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if len(seen) > 1_000_000:
@@ -193,7 +193,9 @@ def _band_rows(s: Settings):
                 keys = keys.ravel()
                 slots = keys & (SLOTS - 1)
                 hot = np.flatnonzero(counts[slots] > s.tile)
-                np.add.at(counts, slots, 1)
+                if turn % 4 == 0:  # every fourth part stands for four
+                    np.add.at(counts, slots, 4)
+                turn += 1
                 chunk = np.full(len(keys), -1, np.int64)
                 new = []
                 for i, k in zip(hot.tolist(), keys[hot].tolist()):
@@ -214,7 +216,7 @@ _BUCKET = "a long, b long, key long, sketch long, more long, chunk long"
 
 
 def _bucket_pairs(s: Settings):
-    """mapInArrow body over rows sorted by chunk, key and id: surviving pairs, and the members of oversized buckets.
+    """mapInArrow body over rows sorted by key: surviving pairs, and the members of oversized buckets.
 
     Pairs have a null key. A bucket of more than ``tile`` records, or with an announcement of further rows, isn't
     compared here; its members pass on, numbered by chunks of ``tile``. Rows that have a chunk already pass on as they are.
@@ -269,7 +271,7 @@ def _bucket_pairs(s: Settings):
                 big, passed = None, 0
             elif last != big:  # the batch begins with another key: the bucket under way ended at the boundary
                 big, passed = None, 0
-            if big is None and (len(tail[0]) > s.tile or tail[1][0] == MARK):
+            if big is None and (len(tail[0]) > s.tile or (tail[1] == MARK).any()):
                 big, passed = last, 0
             if big is not None:
                 tail = tuple(c[tail[1] != MARK] for c in tail)
@@ -284,6 +286,7 @@ def _bucket_pairs(s: Settings):
     def finish(rows, big, passed):
         key, ids, sketch, n = rows
         if big is not None and len(key) and key[0] == big:  # the rest of the bucket under way
+            key, ids, sketch, n = (c[(ids != MARK) | (key != big)] for c in rows)
             k = int((key == big).sum())
             yield emit(ids[:k], None, key[:k], sketch[:k], n[:k], (passed + np.arange(k)) // s.tile)
             key, ids, sketch, n = key[k:], ids[k:], sketch[k:], n[k:]
@@ -291,7 +294,7 @@ def _bucket_pairs(s: Settings):
             return
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(heads, len(key)))
-        large = np.repeat((size > s.tile) | (ids[heads] == MARK), size)
+        large = np.repeat((size > s.tile) | np.logical_or.reduceat(ids == MARK, heads), size)
         if large.any():
             rank = np.arange(len(key)) - np.repeat(heads, size)
             out = large & (ids != MARK)
@@ -334,7 +337,8 @@ def _tile_pairs(s: Settings):
 def candidates(records: DataFrame, s: Settings) -> DataFrame:
     """(a, b), a < b: distinct candidate pairs of record ids. records: (id long, body string)."""
     rows = records.mapInArrow(_band_rows(s), "key long, id long, sketch long, more long, chunk long")
-    sorted_rows = rows.repartition("key", "chunk").sortWithinPartitions("chunk", "key", "id")
+    # a record becomes some four times its bytes; its share of a task stays the same at any size of the table
+    sorted_rows = rows.repartition(shuffle_parts(records, 4), "key", "chunk").sortWithinPartitions("key")
     found = cut(sorted_rows.mapInArrow(_bucket_pairs(s), _BUCKET).groupBy("a", "b", "key", "sketch", "more", "chunk").agg(F.count(F.lit(1)).alias("c")).drop("c"))
     big = found.where("key is not null").select("key", "a", "sketch", "more", "chunk")
     chunks = big.select("key", "chunk").distinct()
