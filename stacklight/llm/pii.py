@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import json
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +24,7 @@ from .pii_spans import KINDS, Span, Words, around, features, propose
 from .pii_training import labelled
 
 #: Generated texts the classifier is trained on (about six candidates each); the bound of its sample.
-TRAINING_TEXTS = 5000
+TRAINING_TEXTS = 12000
 #: A word is ordinary if at least this share of the distinct texts (and five of them) use it. With an average
 #: of w distinct words a text, at most w / ORDINARY_SHARE words can be: the bound of what is broadcast.
 ORDINARY_SHARE = 0.0015
@@ -32,8 +36,7 @@ class Model:
     thresholds: tuple[float, ...]
 
 
-@lru_cache(maxsize=2)
-def train(n_texts: int = TRAINING_TEXTS, seed: int = 11) -> Model:
+def fit(n_texts: int, seed: int) -> Model:
     """Fit on generated texts; calibrate and set each kind's threshold on others that took no part.
 
     The threshold of a kind is the probability with the best F1 on the held-out texts.
@@ -53,6 +56,36 @@ def train(n_texts: int = TRAINING_TEXTS, seed: int = 11) -> Model:
     return Model(trees, tuple(limits))
 
 
+#: The fitted model, kept with the code that made it: written by ``python -m stacklight.llm.pii``.
+STORED = Path(__file__).with_name("pii_model.json")
+
+
+def fingerprint(n_texts: int, seed: int) -> str:
+    """Of all that decides the fit: training sentences, candidates, features, trees and settings."""
+    parts = [Path(__file__).with_name(f"{name}.py").read_bytes() for name in ("boosting", "pii_spans", "pii_training")]
+    return hashlib.sha256(b"\0".join([*parts, inspect.getsource(fit).encode(), f"{n_texts} {seed}".encode()])).hexdigest()
+
+
+@lru_cache(maxsize=2)
+def train(n_texts: int = TRAINING_TEXTS, seed: int = 11) -> Model:
+    """The stored model if it was made by this code with these settings, else a fresh fit: both are the same."""
+    if STORED.exists():
+        kept = json.loads(STORED.read_text())
+        if kept["fingerprint"] == fingerprint(n_texts, seed):
+            trees = Boosted(depth=kept["depth"])
+            trees.bias, trees.scale = kept["bias"], tuple(kept["scale"])
+            trees.trees = [(np.array(f, np.int64), np.array([np.inf if c is None else c for c in cut_]), np.array(v)) for f, cut_, v in kept["trees"]]
+            return Model(trees, tuple(kept["thresholds"]))
+    return fit(n_texts, seed)
+
+
+def store(n_texts: int = TRAINING_TEXTS, seed: int = 11) -> None:
+    model = fit(n_texts, seed)
+    trees = [[f.tolist(), [None if np.isinf(c) else float(c) for c in cut_], v.tolist()] for f, cut_, v in model.trees.trees]
+    kept = {"fingerprint": fingerprint(n_texts, seed), "depth": model.trees.depth, "bias": model.trees.bias, "scale": model.trees.scale, "thresholds": model.thresholds, "trees": trees}
+    STORED.write_text(json.dumps(kept) + "\n")
+
+
 def select(spans: list[Span], probability: np.ndarray, thresholds: tuple[float, ...]) -> list[tuple[Span, float]]:
     """Of the candidates over their threshold, the surest first and no two that overlap; the longer on ties."""
     order = sorted(range(len(spans)), key=lambda i: (-round(float(probability[i]), 2), -(spans[i].end - spans[i].start), spans[i].start))
@@ -165,3 +198,9 @@ def redact(df: DataFrame, key: str = "review_id", text: str = "text", n_texts: i
 
     kind = df.schema[key].dataType.simpleString()
     return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, redacted string")
+
+
+if __name__ == "__main__":
+    from stacklight.llm import pii
+
+    pii.store()

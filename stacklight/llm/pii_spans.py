@@ -79,21 +79,16 @@ CUES = {
 _CUES = {k: frozenset(v.split()) for k, v in CUES.items()}
 _NAME_AFTER = frozenset("liked next fixed".split())
 _AFTER = frozenset("liked next fixed from at in if works thanks soon after and".split())
-# Ordinary words that are no names, so small collections need no statistics of their own.
+# Function words, number words, days and months, titles, and the labels of documents and addresses. What else
+# is ordinary is counted in the collection.
 ORDINARY = frozenset(
     "the a an and or but if of in on at to for with from by as is it its this that these those was were be been are am i you he she we they me my your his her our "
     "their not no yes so too very just only even all any some each every more most much many few little one two three four five six seven eight nine ten zero first "
     "last next other another same such own than then there here when where while who whom whose which what why how up down out off over under again once after before "
     "between near against because until unless about around into through during without within mostly rather quite really still also already never always often maybe "
-    "good great nice bad poor fine ok okay love loved like liked best better worst works worked work fit fits size small large big tall short long wide color colour "
-    "price value money quality product item order ordered bought buy buying return returned refund seller shop store delivery delivered shipping shipped package parcel "
-    "box courier noted label tag number version pattern printed bag swapped article older cut width model care code calling customer service cost minutes means nothing "
-    "promised tracking moved ratio cotton nylon emailed twice reply met someone mall noon had who fax phoned call ring ask desk signed regards thanks support send "
-    "replacement went left instead live floors ship slip weird would need wanted even gift mom loves happy met door fixed tailor end gave photo asked sent please answer "
-    "write want mine contact mail mailto goes number text reach works soon perfect perfekt tres joli bonito comodo muy buena calidad lo recomiendo passt gefallen leider "
-    "klein ausgefallen sehr gut schlecht stars star runs does job disappointed itchy cute wrong dress shirt coat jacket jeans pants shoes boots hat scarf gloves socks "
-    "sweater hoodie skirt shorts blouse tunic romper parka poncho cardigan blazer jumper kimono pullover wedding party office school winter summer spring autumn monday "
-    "social security national insurance driving licence license passport tax flat apt apartment unit suite rue via calle tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december mr mrs ms dr miss sir".split()
+    "do does did done has have had having will would can could should may might must shall "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december mr mrs ms dr miss sir "
+    "social security national insurance driving licence license passport tax flat apt apartment unit suite rue via calle regards signed thanks dear".split()
 )
 
 
@@ -132,7 +127,8 @@ def _address_ends(text: str, end: int, first: int, words: Words) -> list[int]:
         at, need = (m.end(), False) if m else (end, False)
     town, count, after_part = at, 0, False
     title = text[first:end] != text[first:end].lower()
-    while at > end and count < 3 and (t := _TOKEN.match(text, town if count == 0 else town + 1)):
+    # a town in small letters has no sign of where it ends but the next ordinary word: three words at most
+    while at > end and (title or count < 3) and (t := _TOKEN.match(text, town if count == 0 else town + 1)):
         if count and text[town] != " ":
             break
         part = bool(_PLACE_PART.match(t[0]))
@@ -195,9 +191,19 @@ def names(text: str, words: Words) -> list[Span]:
         end = tokens[j - 1][1]
         return left[-1:] in _DASHES if left[-1:] not in ("", "\n") else text[end : end + 1] in ("", "\n")
 
+    # the last word of the unbroken run of capitalised name words from each word on
+    ends = list(range(n))
+    first_up = [bool(k) and t[2][0].isupper() for k, t in zip(kinds, tokens)]
+    for i in range(n - 2, -1, -1):
+        gap = first_up[i] and first_up[i + 1] and _NAME_GAP.fullmatch(text[tokens[i][1] : tokens[i + 1][0]])
+        if gap and (kinds[i] == "i" or not gap[1]):
+            ends[i] = ends[i + 1]
     for i in range(n - 1):
         if not kinds[i] or not kinds[i + 1]:
             continue
+        # names of more than three words: a whole run of capitalised ones
+        if ends[i] - i > 2 and (not i or ends[i - 1] != ends[i]) and capital(i, ends[i] + 1):
+            out.append(Span("name", tokens[i][0], tokens[ends[i]][1], 9))
         for length in (2, 3):
             j = i + length
             if j > n or not all(kinds[i:j]):
@@ -261,7 +267,8 @@ def around(spans: list[Span]) -> list[list[Span]]:
     return out
 
 
-_BREAK = re.compile(r"(?<!\bno)(?<!\b\w)[.!?…][\s\xa0]+|\n|<br ?/?>|…")
+# a full stop after "no", an initial or a title ends no sentence
+_BREAK = re.compile(r"(?<!\bno)(?<!\b\w)(?<!\bmr)(?<!\bms)(?<!\bdr)(?<!\bst)(?<!\bmrs)(?<!\bprof)[.!?…][\s\xa0]+|\n|<br ?/?>|…")
 
 
 def features(text: str, span: Span, others: list[Span], words: Words) -> list[float]:

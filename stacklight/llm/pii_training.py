@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 from .pii_spans import _TOKEN, DIGIT_WORDS, Span, Words, around, features, propose
@@ -10,48 +12,63 @@ from .pii_spans import _TOKEN, DIGIT_WORDS, Span, Words, around, features, propo
 _HEADS = "mar bel tor ran sel vik dor lin har kas ber fen gal hol jor kel lam mor nor pel quin ros stan tam ulf ver wes yor zan al ed os ir".split()
 _TAILS = "a en ia us ette o in ar el is ova man ski dottir berg field sen etti stad ley ingham court wood son well quist".split()
 _STREET_TYPES = "Street St. Road Rd Avenue Ave Lane Walk Row Blvd Drive Court".split()
+# Every frame is worded for this purpose: none stands in the collections the classifier is applied to (a test checks that).
+_TITLES = ["Mr.", "Mrs.", "Ms.", "Miss", "Dr.", "Prof.", "Mr", "Mrs", "Dr", "Sir", "Madam"]
 _NAME_FRAMES = [
-    "Signed, {}", "regards {}", "- {}", "Thanks to {} from support.", "Ask for {} at the desk.", "My tailor {} fixed it.", "I gave it to {} in the end.",
-    "{} liked it.", "{} next door has one too.", "Mrs. {} next door has one too.", "Dr. {} liked it.", "Against my landlady {}, I keep it in the closet.",
-    "My neighbour {} predicted that.", "Spoke with {} about it.", "Whenever my cousin {} visits, I wear it.", "({})", "best wishes {}",
+    "Yours truly, {}", "cheers, {}", "~ {}", "xoxo {}", "Kindest regards {}", "Much obliged to {} in returns.", "Speak to {} at counter four.", "My seamstress {} altered it.", "I lent mine to {} afterwards.",
+    "{} adored the pockets.", "{} down the hall ordered two.", "Mr. {} down the hall ordered two.", "Ms {} adored the pockets.", "Prof. {} raised an eyebrow.", "Behind the back of my roommate {}, I wore it twice.",
+    "My brother-in-law {} called it years ago.", "Had a chat with {} over lunch.", "Each time aunt {} drops by, I hide it.", "[{}]", "(from {})", "warmly {}", "Written by {}", "It was a present for {} originally.", "my stylist {} swears by it",
+    "Big shout-out to {}!", "{} recommended this", "according to {} it shrinks", "Dear {}, your parcel never came.", "{} signed for it.", "manager {} was rude", "Sincerely\n{}", "I saw it on {} last week.", "This one is for {} in billing.", "Check with {} first.", "Looked after by {} from the branch.", "Waiting for {} since May.", "It came with a note for {} inside.", "A parcel for {} again.", "Enquire with {} upstairs.", "- {} -", "Bye, {}", "The tag carries my friend {}'s initials.",
 ]
 _PHONE_FRAMES = [
-    "Call me on {} after six.", "Ring {} and ask about the return.", "They never phoned {}.", "Fax {}; ext. 12", "tel {}", "reach me @ {}", "text me @ {}", "call us @ {}", "my number is {}, text only",
-    "whatsapp:{}", "({})", "{} -", "{}.", "You can text {} any time", "mobile {}",
+    "Give me a buzz at {} in the evening.", "Dial {} if the refund stalls.", "Nobody ever answers {}.", "Fax number {}, extension 40", "tel. {}", "Tel: {}", "ping me @ {}", "sms @ {}", "Our number: {}", "my cell is {}, no voicemail please",
+    "viber:{}", "[{}]", "(phone {})", "{} --", "{}!", "Texting {} works at all hours", "cell {}", "phone: {}", "hotline {} hung up on me", "They list {} as their helpline.", "Contact number {}", "I left a message on {} twice", "you may ring me: {}", "sold by someone at {}",
 ]
 _ID_FRAMES = [
-    ("Courier noted {} {}.", 0), ("Why would a shop need {} {}?", 0), ("They even wanted my {} {} for the refund.", 0), ("({} {})", 0), ("{} {} was on the slip, weird", 0), ("I had to show {} {}", 0),
+    ("The driver scribbled down {} {}.", 0), ("What does a boutique want with {} {}?", 0), ("Customer care insisted on my {} {} before paying me back.", 0), ("[{} {}]", 0), ("Printed on the receipt: {} {}", 0), ("At pickup I gave {} {}", 0),
+    ("{} {}", 0), ("here it is, {} {}", 0), ("Somebody stole my {} {} from their site", 0), ("verification needed {} {}, really", 0), ("{} {} is what they stored about me.", 0), ("mine is {} {}.", 0),
 ]
 _ADDRESS_FRAMES = [
-    "ship to: {}", "Send the replacement to {}.", "The parcel went to {}, not to me.", "Moved from {} in June.", "I live at {}, two floors up.", "It was left at {} instead.", "({})", "{}.", "{} -", "my address is {}",
+    "deliver to: {}", "Please post the new one to {}.", "UPS dropped it at {} by mistake.", "We relocated from {} last spring.", "Our place is {}, ring twice.", "Someone at {} took my box.", "[{}]", "(address: {})", "{}!", "{} --", "mailing address {}", "home: {}",
+    "I am at {} all week.", "Pick it up from {}.", "their showroom, {}, is closed", "return it to {}", "The shop on {} had it cheaper.", "resident of {}", "Sender: {}", "found it lying outside {} in the rain",
 ]
 _EMAIL_FRAMES = [
-    "Write to {} if you want mine.", "contact {}", "my mail: {}, thanks", "mailto:{} works", "refund goes to {}!", "Please answer me at <{}> soon.", "Seller asked for a photo, I sent it from {}.", "({})", "{}.",
+    "Drop a line to {} for pictures.", "e-mail {}", "my address is {}, cheers", "mailto:{} bounced", "paypal me via {}!", "Respond to <{}> today.", "They wanted photos so I used {}.", "[{}]", "({} preferred)", "{}!", "questions: {}", "Email me: {}", "reachable under {}", "I never got a reply from {}",
+    "forwarded everything to {} already", "cc {}",
 ]
 _DECOYS = [
-    "Order no. {d3}-{d7}-{d2} was late.", "SKU {d10} is printed on the bag.", "Tracking {d4} {d3} {d4} {d4} {d2} never moved.", "Bought on 20{t2}-0{d1}-1{d1}.", "Version {d1}.{d1}.{d2} of the pattern.",
-    "The style tag says {d3}-{d3}-{d1}.", "The label read QQ-{d2} and care code {d2} {d2}.", "It fits {d2}-{d2}-{d2} as the label promised.", "Ratio of cotton to nylon is {d2}:{d2}.",
-    "Size {d2}.5, width 4E, model {d3}-{d4}.", "Article B0{d2}KX{d2} was swapped for it.", "Model KV-{d4} is the older cut.", "Number {d2} on the size label means nothing.", "model {d4} seems soft next to model {d4}",
-    "lot number {d4} had a soft hem while lot {d4} was fine", "for {d4} steps a day at the gym", "with {d2} percent off", "I met someone at the mall @ noon who had one.", "Emailed the shop twice, no reply.",
-    "Calling customer care cost me {d2} minutes.", "item {d9} came in a bag", "batch {d3}-{d4} was recalled", "part number {d3}-{d3}-{d4} is wrong", "at {d1} at night I saw the dot on it", "serial {d11} on the label",
-    "The {w} {w} jacket I own is better.", "a {w} {w} dress like this", "Bought the {w} {w} coat too", "this {w} {w} shirt runs small",
-    "cost me {d2} dollars and {d2} cents", "{d2} of {d2} days", "Walked {d1} blocks down the main road", "about {d2} steps from the park way", "gift code {d4} {d4}",
+    "Invoice {d3}-{d7}-{d2} got lost.", "Barcode {d10} peeled away.", "Parcel id {d4} {d3} {d4} {d4} {d2} is stuck.", "Ordered 20{t2}-0{d1}-1{d1}.", "Revision {d1}.{d1}.{d2} of the cut.", "It says {d3}-{d3}-{d1} inside the collar.", "Wash code RT-{d2} and symbol {d2} {d2}.",
+    "My measurements are {d2}-{d2}-{d2} roughly.", "A blend of {d2}:{d2}.", "I take {d2}.5, width 3E, last {d3}-{d4}.", "Listing B0{d2}QT{d2} vanished.", "Style RB-{d4} is gone.", "What is {d2} supposed to be?", "style {d4} beats style {d4}", "run {d4} was stiff, run {d4} was fine",
+    "after {d4} kilometres on foot", "saved {d2} percent", "We were @ the lake when it tore.", "Wrote to them thrice, silence.", "On hold for {d2} minutes.", "article {d9} missing", "release {d3}-{d4} withdrawn", "component {d3}-{d3}-{d4} snapped", "stitched at {d1} by the dot", "engraved {d11} underneath",
+    "My {w} {w} parka is warmer.", "some {w} {w} knit", "Picked the {w} {w} boots", "that {w} {w} blouse pinches", "paid {d2} euros and {d2} cents", "{d2} out of {d2} wears", "Just {d1} minutes along the coast road", "near {d2} shops on the high street", "voucher {d4} {d4}",
+    "Love the {w} {w} range", "the {w} {w} factory", "made in {w} {w}", 
 ]
 # of words that many texts of a collection use; put only in texts that are given such words
 _COMMON_DECOYS = [
-    "My colleague {l} {l} it anyway.", "as my boss {l}, {l} it on the train", "worn by {l} {l} people", "ask {l} {l} first", "{w} {l} the {l} came apart", "from my {l}, {l} in a {l} yarn", "it was {l} - {l} {l} in the end",
-    "{w} {w} {l} is nicer.", "{w} {w} {l} {l} longer", "{w} {w} brand buttons", "this one is {l}, {l} and {l} a bit {l}", "my coach {l} {l} on the {l}", "that my boss {l}, {l} or not", "my landlady {l}, {l} lot {d4}",
+    "My cousin {l} {l} it, no idea why.", "as my manager {l}, {l} it over dinner", "seen on {l} {l} folks", "try {l} {l} beforehand", "{w} {l} the {l} fell off", "out of my {l}, {l} with a {l} lining", "was {l} - {l} {l} by then",
+    "{w} {w} {l} looks finer.", "{w} {w} {l} {l} wider", "{w} {w} label zips", "mine is {l}, {l} plus {l} rather {l}", "my trainer {l} {l} with the {l}", "so my uncle {l}, {l} and all", "my seamstress {l}, {l} batch {d4}",
+    "{l} {l} {l}", "{w} {l} {l}, {l} {l}.", "as my niece {l}, {l} through the rain", "my butler {l}, {l}", "what my dentist {l}, {l}, {l}.", "my grandpa {l}. {w} {l} it", "when my pal {l}, {l} with me", "all that my florist {l}, {l} early", "{l} {l} my {l} {l}", "({l} {l})", "{l} - {l}", "{w} {l} {l} {l} {l}!",
 ]
 _FILLER = [
-    "Delivery took {d2} days and the coat arrived in a soft box.", "Runs large, size down.", "Would buy again.", "The zipper came with {d2} loose threads.", "My aunt has the green one, I took blue.",
-    "Too small", "good", "Every Friday I wear it to the gym and {d2} people ask about it.", "The chart says {d2} but the tape says {d2}.", "Lovely nurbel fabric.", "it was quorl and tesk soft", "nice zelbo tarnish",
-    "Wear it with Velbrun Denim.", "tres jolie robe", "muy linda prenda",
+    "Postage was {d2} days late but the parka survived.", "Sizing is generous, order down.", "Ten out of ten.", "The seam had {d2} dangling threads.", "Mine is teal, hers is plum.", "tiny", "superb", "Each weekend I hike in it and {d2} strangers comment.", "Their table claims {d2}, my ruler claims {d2}.",
+    "Charming nurbel cloth.", "feels quorl yet tesk", "pretty zelbo gleam", "Pairs with Velbrun Linen.", "belle coupe", "bonita tela", "schöner stoff", "Keeps its shape after many washes, I must say.", "meh",
 ]
 
 
+# Frames the classifier never sees in training, for measuring it: of other wording again.
+HELD_OUT = {
+    "name": ["Love from {}", "{} said no thanks.", "Meet {}, our tester.", "the couple next to us, {} and son, agreed", "It belongs to {} now", "hand it to {} please", "nurse {} wears one too", "{} - verified owner", "as told by {}", "credit goes to {}"],
+    "phone": ["Best reached on {}", "WhatsApp {} for details", "office line {}", "try {} before noon", "My husband's phone, {}, was on the form", "{} (mornings)", "voicemail at {}", "number {} is dead"],
+    "address": ["Warehouse at {}", "I'm living at {} now", "bring it round to {}", "the courier insisted on {}", "billing: {}", "{} is where it ended up", "neighbours of {} complained", "Visit us at {}"],
+    "email": ["invoice sent to {}", "Please use {} instead", "seller's mail {} is fake", "send proof to {}.", "{} is my work account", "login {}"],
+    "id_number": ["Form asked for {} {}.", "leaked: {} {}", "I typed {} {} by accident", "They photographed my card, {} {}"],
+}
+
+
 class _Maker:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, held_out: bool = False):
         self.g = np.random.default_rng(seed)
+        self.held_out = held_out
         self.starters: set[str] = set()  # capitalised ordinary words put before names
 
     def pick(self, xs):
@@ -83,6 +100,10 @@ class _Maker:
             family = "O'" + family
         if self.g.random() < 0.08:
             family = self.pick(["von ", "de la ", "van der ", "de "]) + family
+        if self.g.random() < 0.04:  # several given or family names
+            given += " " + self.word()
+        if self.g.random() < 0.03:
+            family += " " + self.word()
         initial = chr(65 + int(self.g.integers(26))) + "."
         gap = "  " if self.g.random() < 0.1 else " "
         kind = self.g.random()
@@ -153,16 +174,19 @@ class _Maker:
             else:
                 which = self.pick(["name", "name", "phone", "id_number", "address", "email"])
                 frame = {"name": _NAME_FRAMES, "phone": _PHONE_FRAMES, "address": _ADDRESS_FRAMES, "email": _EMAIL_FRAMES}.get(which)
+                frame = HELD_OUT[which] if self.held_out and frame else frame
                 if frame:
                     frame, value = self.pick(frame), getattr(self, which)()
                 else:
                     label, value = self.ident()
-                    frame = self.pick(_ID_FRAMES)[0].replace("{}", label, 1)
+                    frame = (self.pick(HELD_OUT["id_number"]) if self.held_out else self.pick(_ID_FRAMES)[0]).replace("{}", label, 1)
                 s = frame.replace("{}", value, 1)
                 if mixed and which == "name" and self.g.random() < 0.15:
                     starter = self.word()
                     self.starters.add(starter.lower())
-                    s = f"{starter} {s}" if self.g.random() < 0.6 else f"{s} {starter} through the day"
+                    s = f"{starter} {s}" if self.g.random() < 0.6 else f"{s} {starter} all along"
+                if which == "name" and not self.held_out and s.startswith(value) and self.g.random() < 0.3:
+                    s = f"{self.pick(_TITLES)} {s}"
                 got = (which, value)
             if got:
                 k = s.index(got[1])
@@ -201,21 +225,39 @@ def _usage(text: str, true: set[tuple[str, int, int]], maker: _Maker) -> Words:
     return Words(common, proper)
 
 
-def labelled(n_texts: int, seed: int, common: frozenset[str], mixed: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def collection_words(texts: list[str], common: frozenset[str] = frozenset(), share: float = 0.0015) -> Words:
+    """Common and mostly capitalised words of a collection: those that ``share`` of its texts use, and five."""
+    n: Counter[str] = Counter()
+    low: Counter[str] = Counter()
+    for text in texts:
+        found = {m[0] for m in _TOKEN.finditer(text)}
+        n.update({w.lower() for w in found})
+        low.update({w for w in found if w == w.lower()})
+    many = {w for w, k in n.items() if k >= max(5, share * len(texts))}
+    return Words(frozenset(many | common), frozenset(w for w in many if 2 * low[w] < n[w]))
+
+
+def labelled(n_texts: int, seed: int, common: frozenset[str], mixed: bool = False, held_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features, labels, kind numbers) of the candidates of ``n_texts`` generated texts.
 
-    If ``mixed``, seven texts of ten come from collections with common words of their own.
+    If ``mixed``, seven texts of ten come from collections with common words of their own. With ``held_out`` the
+    sentences are those no classifier is trained on.
     """
     from .pii_spans import KINDS
 
-    maker, plain = _Maker(seed), Words(common)
+    maker = _Maker(seed, held_out)
     x, y, kinds = [], [], []
+    made = []
     for _ in range(n_texts):
         drawn = mixed and maker.g.random() < 0.7
         text, true = maker.text(drawn)
-        words = _usage(text, true, maker) if drawn else plain
+        words = _usage(text, true, maker) if drawn else None
         if drawn and maker.g.random() < 0.08 and len(text.upper()) == len(text):
             text = text.upper()
+        made.append((text, true, words))
+    plain = Words(common)
+    for text, true, words in made:
+        words = words or plain
         spans = propose(text, words)
         for s, near in zip(spans, around(spans)):
             x.append(features(text, s, near, words))
@@ -224,6 +266,11 @@ def labelled(n_texts: int, seed: int, common: frozenset[str], mixed: bool = Fals
     return np.array(x), np.array(y), np.array(kinds)
 
 
+def frames() -> list[str]:
+    """All training sentences, with their gaps."""
+    return [*_NAME_FRAMES, *_PHONE_FRAMES, *(f for f, _ in _ID_FRAMES), *_ADDRESS_FRAMES, *_EMAIL_FRAMES, *_DECOYS, *_COMMON_DECOYS, *_FILLER]
+
+
 def recall_of_candidates(n_texts: int, seed: int) -> float:
     """Share of the planted spans that the generators propose."""
     maker, words, hit, total = _Maker(seed), Words(), 0, 0
