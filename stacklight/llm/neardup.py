@@ -423,8 +423,8 @@ def text_pairs(records: DataFrame, s: Settings) -> DataFrame:
 
 def _records(df: DataFrame, key: str, title: str, text: str, s: Settings) -> DataFrame:
     body = record_text(title, text)
-    # n words need at least 2 n - 1 characters of the lower-cased text, which may be longer than the text
-    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), body.alias("body")).where(F.length(F.lower("body")) >= 2 * s.least_words - 1).withColumn("id", F.xxhash64("body"))
+    # n words need at least 2 n - 1 characters of the lower-cased text, which is at most twice as long as the text
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), body.alias("body")).where(2 * F.length("body") >= 2 * s.least_words - 1).withColumn("id", F.xxhash64("body"))
 
 
 def near_duplicates(df: DataFrame, key: str = "review_id", title: str = "title", text: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -446,7 +446,9 @@ def near_duplicates(df: DataFrame, key: str = "review_id", title: str = "title",
     members = rows.select("id", "key").distinct()
     x, y = (members.select(F.col("id").alias(c), F.col("key").alias(f"key_{c}")) for c in "ab")
     across = pairs.join(x, "a").join(y, "b").select("key_a", "key_b")
+    # words are counted in the copied texts alone
+    copied = rows.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("id")
     enough = F.regexp_count(F.lower("body"), F.lit("[a-z0-9]+")) >= s.least_words
-    copied = rows.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.bool_or(enough).alias("ok")).where("lo <> hi and ok").select("id")
-    same = class_pairs(members.join(copied, "id", "left_semi"), "id", "key")
+    long = rows.select("id", "body").join(copied, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body")).where(enough).select("id")
+    same = class_pairs(members.join(long, "id", "left_semi"), "id", "key")
     return across.unionByName(same).select(F.least("key_a", "key_b").alias(f"{key}_a"), F.greatest("key_a", "key_b").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b")).distinct()
