@@ -160,56 +160,56 @@ def names(text: str, words: Words) -> list[Span]:
     lows: list[str] = []
     kinds: list[str] = []
     particle = -1  # start of the particles before the next word
+    plain, particles, fixed = _PLAIN_FIXED, _PARTICLES, _FIXED
+    add_token, add_low, add_kind = tokens.append, lows.append, kinds.append
     for m in _TOKEN.finditer(text):
         w = m[0]
         low = w.lower()
-        (a, e), kind = m.span(), ""
-        if low in _PLAIN_FIXED:
-            pass
-        elif low in _PARTICLES and text[e : e + 1] == " ":
-            particle = a if particle < 0 else particle
-            continue
-        elif not (text[e : e + 1].isdigit() or text[a - 1 : a].isdigit()):
-            kind = "i" if len(w) == 1 and text[e : e + 1] == "." else "w" if len(w) > 1 and low not in _FIXED else ""
-        tokens.append((particle if particle >= 0 and kind == "w" else a, e, w))
-        lows.append(low)
-        kinds.append(kind)
+        a, e = m.span()
+        kind = ""
+        if low not in plain:
+            if low in particles and text[e : e + 1] == " ":
+                particle = a if particle < 0 else particle
+                continue
+            if len(w) == 1:
+                kind = "i" if text[e : e + 1] == "." else ""
+            elif low not in fixed:
+                kind = "w"
+            if kind and (text[e : e + 1].isdigit() or text[a - 1 : a].isdigit()):
+                kind = ""
+        add_token((particle if particle >= 0 and kind == "w" else a, e, w))
+        add_low(low)
+        add_kind(kind)
         particle = -1
     n = len(tokens)
 
-    def uncommon(i: int, j: int) -> bool:
-        return all(kinds[k] == "i" or lows[k] not in common for k in range(i, j))
-
-    def capital(i: int, j: int) -> bool:
-        return all(kinds[k] == "i" or tokens[k][2][0].isupper() and not tokens[k][2].isupper() for k in range(i, j))
-
-    def cued(i: int, j: int) -> bool:
-        """Whether a word beside tokens i to j - 1 speaks for a name, or they follow a bracket or dash or fill a line."""
-        if i and lows[i - 1] in _CUES["name"] or j < n and lows[j] in _NAME_AFTER:
-            return True
-        left = text[max(0, tokens[i][0] - 4) : tokens[i][0]].rstrip(" \xa0")
-        end = tokens[j - 1][1]
-        return left[-1:] in _DASHES if left[-1:] not in ("", "\n") else text[end : end + 1] in ("", "\n")
-
+    up = [bool(k) and t[2][0].isupper() for k, t in zip(kinds, tokens)]
+    uncommon = [k == "i" or w not in common for k, w in zip(kinds, lows)]
+    capital = [k == "i" or u and not t[2].isupper() for k, u, t in zip(kinds, up, tokens)]
+    name_cues = _CUES["name"]
     # the last word of the unbroken run of capitalised name words from each word on
     ends = list(range(n))
-    first_up = [bool(k) and t[2][0].isupper() for k, t in zip(kinds, tokens)]
     for i in range(n - 2, -1, -1):
-        gap = first_up[i] and first_up[i + 1] and _NAME_GAP.fullmatch(text[tokens[i][1] : tokens[i + 1][0]])
+        gap = up[i] and up[i + 1] and _NAME_GAP.fullmatch(text[tokens[i][1] : tokens[i + 1][0]])
         if gap and (kinds[i] == "i" or not gap[1]):
             ends[i] = ends[i + 1]
     for i in range(n - 1):
         if not kinds[i] or not kinds[i + 1]:
             continue
         # names of more than three words: a whole run of capitalised ones
-        if ends[i] - i > 2 and (not i or ends[i - 1] != ends[i]) and capital(i, ends[i] + 1):
+        if ends[i] - i > 2 and (not i or ends[i - 1] != ends[i]) and all(capital[i : ends[i] + 1]):
             out.append(Span("name", tokens[i][0], tokens[ends[i]][1], 9))
+        left = ""  # what stands before the first word, looked at only if it must be
         for length in (2, 3):
             j = i + length
-            if j > n or not all(kinds[i:j]):
+            if j > n or not kinds[j - 1]:
                 break
-            if not uncommon(i, j) and not capital(i, j) and not cued(i, j):
-                continue
+            if not (uncommon[i] and uncommon[i + 1] and uncommon[j - 1]) and not (capital[i] and capital[i + 1] and capital[j - 1]):
+                # common words: only if a word beside them speaks for a name, or they follow a bracket or dash or fill a line
+                if not (i and lows[i - 1] in name_cues or j < n and lows[j] in _NAME_AFTER):
+                    left = left or text[max(0, tokens[i][0] - 4) : tokens[i][0]].rstrip(" \xa0")[-1:] or "\n"
+                    if left not in _DASHES and (left != "\n" or text[tokens[j - 1][1] : tokens[j - 1][1] + 1] not in ("", "\n")):
+                        continue
             gaps = [text[tokens[k][1] : tokens[k + 1][0]] for k in range(i, j - 1)]
             if any(g != " " and (not (m := _NAME_GAP.fullmatch(g)) or (m[1] == "." and kinds[i + k] != "i")) for k, g in enumerate(gaps)):
                 break
