@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import attributes, vocab
 
+# The patterns of numbers, praise, persons and general clothing words, and those of prices and ratings below.
 _NUMBER = r"(\d+(?:\.\d+)?)"
 _RATED = r"(?iU)\b(" + "|".join(vocab.RATING_PHRASES) + r")\b"
 _PERSON = r"(?iU)\s*\b(?:for\s+)?(?:my|his|her|our)\s+(?:" + "|".join(vocab.RELATION_NOUNS) + r")(?:'s)?\b"

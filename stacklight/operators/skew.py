@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Counters of the sketch; its error is at most about 4 / TRACKED of all rows.
 TRACKED = 8192
 #: Keys at or above this share of the rows are treated as heavy by default.
@@ -110,7 +112,8 @@ def class_pairs(members: DataFrame, cls: str, key: str, share: float = HEAVY_SHA
     Members may repeat. A heavy class is met in tiles of about 1,000 by 1,000 keys, so no task has one whole.
     Null classes and keys are in no pair.
     """
-    once = members.where(F.col(cls).isNotNull() & F.col(key).isNotNull()).select(cls, key).distinct()
+    # written once: sizes, salts and both sides of the join read it
+    once = cut(members.where(F.col(cls).isNotNull() & F.col(key).isNotNull()).select(cls, key).distinct())
     dealt = salted(once, cls, key, share)
     last = dealt.where("salt > 0").groupBy(cls).agg(F.max("salt").alias("last"))  # heavy classes alone
     zero = F.lit(0).cast("long")

@@ -69,6 +69,8 @@ def shuffle_parts(df: DataFrame, growth: float, part_bytes: int = 64 << 20) -> i
     """Partitions for a shuffle of rows that grow the frame's estimated bytes ``growth`` times: the session's number, or more if a part would pass ``part_bytes``."""
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:  # Spark's way of saying that it doesn't know
+        size = 0
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, int(size * growth / part_bytes) + 1))
 
 
