@@ -448,7 +448,8 @@ def near_duplicates(df: DataFrame, key: str = "review_id", title: str = "title",
     across = pairs.join(x, "a").join(y, "b").select("key_a", "key_b")
     # words are counted in the copied texts alone
     copied = rows.groupBy("id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("id")
+    copied = cut(copied)
     enough = F.regexp_count(F.lower("body"), F.lit("[a-z0-9]+")) >= s.least_words
-    long = rows.select("id", "body").join(copied, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body")).where(enough).select("id")
-    same = class_pairs(members.join(long, "id", "left_semi"), "id", "key")
+    long = wanted_bodies(spread(rows.select("id", "body")), copied, s).where(enough).select("id").distinct()
+    same = class_pairs(members.join(copied, "id", "left_semi").join(long, "id", "left_semi"), "id", "key")
     return across.unionByName(same).select(F.least("key_a", "key_b").alias(f"{key}_a"), F.greatest("key_a", "key_b").alias(f"{key}_b")).where(F.col(f"{key}_a") < F.col(f"{key}_b")).distinct()
