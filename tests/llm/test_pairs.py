@@ -140,6 +140,40 @@ def test_reinforcement_that_does_not_converge_is_an_error(spark):
         products.reinforce(pairs, forms, forms.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")), products.Settings(rounds=1, tolerance=1e-9))
 
 
+def test_every_two_forms_of_a_block_are_learned_from(spark):
+    """Blocks of 10 and, met in tiles, of 1,100 forms; another length, another size or no rare phrase in common parts forms."""
+    small = [(i, 500.0, 1, "m", [7, 1000 + i]) for i in range(10)]
+    hot = [(100 + i, 800.0, 2, None, [8]) for i in range(1100)]
+    apart = [(50, 700.0, 1, "m", [7]), (51, 500.0, 1, "l", [7]), (52, 500.0, 1, "m", [9])]
+    forms = spark.createDataFrame(small + hot + apart, "form long, length double, pieces int, size string, ids array<long>")
+    counts = forms.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    got = products.learning_pairs(forms, counts).collect()
+    assert len(got) == 45 + 1100 * 1099 // 2
+    assert {tuple(r) for r in got} == set(combinations(range(10), 2)) | set(combinations(range(100, 1200), 2))
+
+
+def test_pairs_of_long_listings_are_learned_from(spark):
+    """Two pairs whose sides differ in 21 phrases each: all of these face each other."""
+    forms = spark.createDataFrame([(i, [1, *range(100 * (1 + i // 2), 100 * (1 + i // 2) + 21)]) for i in range(4)], "form long, ids array<long>")
+    counts = forms.select(F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary, _, at, _ = products.reinforce(spark.createDataFrame([(0, 2), (1, 3)], "a long, b long"), forms, counts, products.Settings())
+    assert {(int(vocabulary.ids[x]), int(vocabulary.ids[y])) for x, y in at.T} == {(x, y) for x in range(100, 121) for y in range(200, 221)}
+
+
+@pytest.mark.parametrize("together", [1, 7, 1 << 20])
+def test_facings_by_parts(monkeypatch, together):
+    monkeypatch.setattr(products, "FACINGS", together)
+    g = random.Random(together)
+    rows = [{k: [g.randrange(-1, 30) for _ in range(g.randrange(0, 6))] for k in "suv"} for _ in range(50)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([(k, pa.list_(pa.int32())) for k in "suv"]))
+    for part in (batch, batch.slice(20, 25), batch.slice(0, 0)):
+        got = Counter()
+        for b in products._facings(30)(iter([part])):
+            for code, n in zip(*(c.to_pylist() for c in b.columns)):
+                got[code] += n
+        assert got == Counter(min(x, y) * 30 + max(x, y) for r in part.to_pylist() for x in r["u"] for y in r["v"] if min(x, y) >= 0)
+
+
 # --- near duplicates ---------------------------------------------------------
 
 
