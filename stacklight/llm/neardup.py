@@ -40,8 +40,8 @@ class Settings:
 
 #: Sketch bits in the first and in the second long of a row; the rest of the second is the word count.
 FIRST, SECOND, COUNT_BITS = 64, 52, 12
-#: Records handled at once in a task.
-CHUNK = 256
+#: Records handled at once in a task, and min-hash functions worked out at once.
+CHUNK, FUNCTIONS = 256, 8
 
 
 def record_text(title: str, text: str) -> Column:
@@ -58,12 +58,20 @@ def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 def _minhash(values: np.ndarray, heads: np.ndarray, n: int, seed: int) -> np.ndarray:
     """(records, n) least hashes; values lie record by record, heads are the records' first positions."""
     a, b = _multipliers(n, seed)
-    table = values.astype(np.uint32)[:, None] * a
-    table += b
-    # an affine map alone orders values too regularly; one xor-shift round breaks that
-    table ^= table >> np.uint32(15)
-    table *= np.uint32(0x2C1B3C6D)
-    return np.minimum.reduceat(table, heads, axis=0)
+    values = values.astype(np.uint32)
+    least = np.empty((n, len(heads)), np.uint32)
+    # a few functions at a time over contiguous values: the scratch stays in the cache, and is small for long records
+    scratch = np.empty((2, min(n, FUNCTIONS), len(values)), np.uint32)
+    for k in range(0, n, FUNCTIONS):
+        part = slice(k, min(k + FUNCTIONS, n))
+        table, high = scratch[:, : part.stop - k]
+        np.multiply(a[part, None], values, out=table)
+        table += b[part, None]
+        # an affine map alone orders values too regularly; one xor-shift round breaks that
+        table ^= np.right_shift(table, np.uint32(15), out=high)
+        table *= np.uint32(0x2C1B3C6D)
+        np.minimum.reduceat(table, heads, axis=1, out=least[part])
+    return least.T
 
 
 def _words(bodies: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -266,3 +267,19 @@ def test_a_hot_bucket_is_spread_before_the_shuffle(spark):
 def test_words_count_after_lowering(spark):
     df = spark.createDataFrame([(1, None, "\u0130" * 30), (2, "", "\u0130" * 30)], "review_id long, title string, text string")
     assert neardup.near_duplicates(df).collect() == [(1, 2)]
+
+
+def test_min_hashes_are_worked_out_a_few_at_a_time():
+    """Scratch for a few of the 240 functions at once, which the cache holds and long records leave room for."""
+    g = np.random.default_rng(3)
+    values, heads = g.integers(0, 2**32, 30000, dtype=np.uint64), np.array([0, 1, 40, 9000, 29999])
+    neardup._multipliers(240, 2)
+    tracemalloc.start()
+    got = neardup._minhash(values, heads, 240, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * values.nbytes
+    for k in (0, 7, 8, 239):
+        a, b = (int(x[k]) for x in neardup._multipliers(240, 2))
+        all_of = [(((h := (int(v) * a + b) % 2**32) ^ h >> 15) * 0x2C1B3C6D) % 2**32 for v in values]
+        assert got[:, k].tolist() == [min(all_of[i:j]) for i, j in zip(heads, [*heads[1:], None])]
