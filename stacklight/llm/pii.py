@@ -112,28 +112,28 @@ def find_in(texts: list[str | None], words: Words, model: Model) -> list[list[tu
     return out
 
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-‐‑][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]++(?:['’\-‐‑][^\W\d_]++)*+")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts per word and those that have it in lower case, summed in the task; the null word counts all texts."""
     seen: Counter[str | None] = Counter()
-    low: Counter[str] = Counter()
+    high: Counter[str] = Counter()  # texts that have the word, but not in lower case
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([low[w] for w in seen], pa.int64())], ["word", "n", "low"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.array([0 if w is None else seen[w] - high[w] for w in seen], pa.int64())], ["word", "n", "low"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             used = set(_WORD.findall(text))
-            lowered = {w.lower() for w in used}
+            lowered = set(map(str.lower, used))
             seen.update(lowered)
+            high.update(lowered - used)
             seen[None] += 1
-            low.update(used & lowered)
         if len(seen) > 500_000:
             yield flush()
             seen.clear()
-            low.clear()
+            high.clear()
     yield flush()
 
 

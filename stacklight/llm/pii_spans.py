@@ -64,7 +64,8 @@ _POST_FIRST = re.compile(r"(?:,[ ]*|[ ]*\n[ ]*|[ ]+)(\d{4,5})[ ]+")
 _CODE_NEXT = re.compile(rf"(?:,[ ]*|[ ]*\n[ ]*|[ ]+)(?:{_CODE})(?!\w)", re.I)
 _PLACE_PART = re.compile(rf"(?:{PLACE_PARTS})$", re.I)
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’\-‐‑][^\W\d_]+)*")
+_T = r"[^\W\d_]++(?:['’\-‐‑][^\W\d_]++)*+"
+_TOKEN = re.compile(_T)
 _GAP = re.compile(r"(\.?)(,?)([  ]{1,2})$|^(\.?)(,)[  ]{0,2}$")
 
 # Words around spans that speak for or against a kind.
@@ -102,6 +103,55 @@ _DASHES = frozenset("(-–—")
 _FIXED = ORDINARY | frozenset(STREETS.split("|"))
 
 
+# What a word may be to a name: part of it, an initial, one that is uncommon, begins large, is large at the start alone; a
+# particle; a word that speaks for a name before or after it.
+_PART, _INITIAL, _UNCOMMON, _UP, _CAPITAL, _PARTICLE, _CUE, _NEXT = (1 << k for k in range(8))
+_OF_NAME = _PART | _INITIAL | _UNCOMMON | _UP | _CAPITAL
+
+
+def _having(bits: int) -> str:
+    """A class of the codes that have all of the bits."""
+    return "[" + "".join(chr(0x100 + c) for c in range(256) if c & bits == bits) + "]"
+
+
+#: Word codes without which no neighbouring words are a candidate, unless a bracket, dash or line end speaks for them.
+_SPOKEN_FOR = re.compile(
+    f"{_having(_PART | _UNCOMMON)}{{2}}|{_having(_PART | _CAPITAL)}{{2}}|{_having(_CUE)}{_having(_PART)}{{2}}|{_having(_PART)}{{2,3}}{_having(_NEXT)}"
+)
+_ANY_PARTICLE = re.compile(_having(_PARTICLE))
+_TWO_PARTS, _PARTS = re.compile(f"{_having(_PART)}{{2}}"), re.compile(f"{_having(_PART)}{{2,}}")
+_BLANK = r"[ \xa0]"
+_AFTER_DASH = re.compile(rf"[(\-–—](?:(?![^\W\d_])|(?<![^\W\d_]-)){_BLANK}{{0,3}}{_T}\.?,?{_BLANK}{{1,2}}{_T}")
+_LINE = rf"{_T}(?:\.?,?{_BLANK}{{1,2}}{_T}){{1,2}}(?=\n|\Z)"
+_FIRST_LINE, _NEXT_LINE, _INDENTED = re.compile(rf"{_BLANK}{{0,3}}{_LINE}"), re.compile(rf"\n{_BLANK}{{0,3}}{_LINE}"), re.compile(rf"{_BLANK}{{4}}{_LINE}")
+_SHAPES = {"ww": 0, "iw": 1, "wiw": 2, "w,w": 3, "w,i": 4, "w,wi": 5, "iiw": 6, "w,ii": 7, "www": 8}
+
+
+class Codes(dict):
+    """Code of every word met, a character each; forgotten when there are too many. A code may promise more than its place in a text keeps."""
+
+    MOST = 1 << 17
+
+    def __init__(self, common: frozenset[str] | set[str]):
+        self.common = common
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.MOST:
+            self.clear()
+        low, code = word.lower(), 0
+        if len(word) == 1:
+            code = _PART | _INITIAL | _UNCOMMON | _CAPITAL | _UP * word.isupper()
+        elif low not in _FIXED:
+            up = word[0].isupper()
+            code = _PART | _UNCOMMON * (low not in self.common) | _UP * up | _CAPITAL * (up and not word.isupper())
+        code |= _PARTICLE * (low in _PARTICLES) | _CUE * (low in _CUES["name"]) | _NEXT * (low in _NAME_AFTER)
+        self[word] = out = chr(0x100 + code)
+        return out
+
+    def of(self, text: str) -> str:
+        return "".join(map(self.__getitem__, _TOKEN.findall(text)))
+
+
 class Words:
     """Which words are ordinary: the fixed ones and those that many records of the collection use.
 
@@ -112,6 +162,7 @@ class Words:
         self.common = common - _FIXED
         self.ordinary = _FIXED | common
         self.plain = self.ordinary - (proper - _FIXED)
+        self.codes = Codes(self.common)
 
     def rare(self, word: str) -> bool:
         return len(word) > 1 and word.lower() not in self.ordinary
@@ -148,73 +199,95 @@ def _address_ends(text: str, end: int, first: int, words: Words) -> list[int]:
     return ends
 
 
+def _stand_out(text: str, codes: Codes) -> bool:
+    """Whether two words that could be a name follow a bracket or dash, or fill a line. Particles aside."""
+    found = list(_AFTER_DASH.finditer(text))
+    if m := _FIRST_LINE.match(text):
+        found.append(m)
+    if "\n" in text:
+        found += _NEXT_LINE.finditer(text)
+    if "    " in text or "\xa0" in text:
+        found += _INDENTED.finditer(text)
+    return any(_TWO_PARTS.search(codes.of(m[0])) for m in found)
+
+
 def names(text: str, words: Words) -> list[Span]:
     """Neighbouring words that could be a person's name, with initials, in either order.
 
     Words the collection uses often count too where they are capitalised or a cue stands
-    beside them; how ordinary they are is left to the trees.
+    beside them; how ordinary they are is left to the trees. Most texts hold no candidate,
+    which the codes of their words tell without a look at each.
     """
+    known = words.codes.of(text)
+    particles = _ANY_PARTICLE.search(known) is not None
+    apart = particles or _stand_out(text, words.codes)
+    if not apart and not _SPOKEN_FOR.search(known):
+        return []
+    found = [m.span() for m in _TOKEN.finditer(text)]
+    if particles:
+        return _names_among(text, found, known, True)
     out: list[Span] = []
-    common = words.common
-    tokens: list[tuple[int, int, str]] = []
-    lows: list[str] = []
-    kinds: list[str] = []
+    for m in _PARTS.finditer(known):  # with the word before and the word after, which may speak for a name
+        at, end = max(0, m.start() - 1), m.end() + 1
+        if apart or _SPOKEN_FOR.search(known, at, end):
+            out += _names_among(text, found[at:end], known[at:end], apart)
+    return out
+
+
+def _names_among(text: str, found: list[tuple[int, int]], known: str, apart: bool) -> list[Span]:
+    """Names among neighbouring words and their codes; ``apart`` if a bracket, dash or line may speak for one."""
+    out: list[Span] = []
+    tokens: list[tuple[int, int]] = []
+    codes: list[int] = []
     particle = -1  # start of the particles before the next word
-    plain, particles, fixed = _PLAIN_FIXED, _PARTICLES, _FIXED
-    add_token, add_low, add_kind = tokens.append, lows.append, kinds.append
-    for m in _TOKEN.finditer(text):
-        w = m[0]
-        low = w.lower()
-        a, e = m.span()
-        kind = ""
-        if low not in plain:
-            if low in particles and text[e : e + 1] == " ":
+    for (a, e), code in zip(found, known):
+        code = ord(code) - 0x100
+        if code & (_PART | _PARTICLE):
+            follows = text[e : e + 1]
+            if code & _PARTICLE and follows == " ":
                 particle = a if particle < 0 else particle
                 continue
-            if len(w) == 1:
-                kind = "i" if text[e : e + 1] == "." else ""
-            elif low not in fixed:
-                kind = "w"
-            if kind and (text[e : e + 1].isdigit() or text[a - 1 : a].isdigit()):
-                kind = ""
-        add_token((particle if particle >= 0 and kind == "w" else a, e, w))
-        add_low(low)
-        add_kind(kind)
+            if code & _INITIAL and follows != "." or follows.isdigit() or text[a - 1 : a].isdigit():
+                code &= ~_OF_NAME
+            elif particle >= 0 and code & _PART and not code & _INITIAL:
+                a = particle
+        tokens.append((a, e))
+        codes.append(code)
         particle = -1
     n = len(tokens)
 
-    up = [bool(k) and t[2][0].isupper() for k, t in zip(kinds, tokens)]
-    uncommon = [k == "i" or w not in common for k, w in zip(kinds, lows)]
-    capital = [k == "i" or u and not t[2].isupper() for k, u, t in zip(kinds, up, tokens)]
-    name_cues = _CUES["name"]
     # the last word of the unbroken run of capitalised name words from each word on
     ends = list(range(n))
     for i in range(n - 2, -1, -1):
-        gap = up[i] and up[i + 1] and _NAME_GAP.fullmatch(text[tokens[i][1] : tokens[i + 1][0]])
-        if gap and (kinds[i] == "i" or not gap[1]):
+        gap = codes[i] & codes[i + 1] & _UP and _NAME_GAP.fullmatch(text[tokens[i][1] : tokens[i + 1][0]])
+        if gap and (codes[i] & _INITIAL or not gap[1]):
             ends[i] = ends[i + 1]
     for i in range(n - 1):
-        if not kinds[i] or not kinds[i + 1]:
+        both = codes[i] & codes[i + 1]
+        if not both & _PART:
             continue
         # names of more than three words: a whole run of capitalised ones
-        if ends[i] - i > 2 and (not i or ends[i - 1] != ends[i]) and all(capital[i : ends[i] + 1]):
+        if ends[i] - i > 2 and (not i or ends[i - 1] != ends[i]) and all(c & _CAPITAL for c in codes[i : ends[i] + 1]):
             out.append(Span("name", tokens[i][0], tokens[ends[i]][1], 9))
         left = ""  # what stands before the first word, looked at only if it must be
         for length in (2, 3):
             j = i + length
-            if j > n or not kinds[j - 1]:
+            if j > n or not codes[j - 1] & _PART:
                 break
-            if not (uncommon[i] and uncommon[i + 1] and uncommon[j - 1]) and not (capital[i] and capital[i + 1] and capital[j - 1]):
+            if not both & codes[j - 1] & (_UNCOMMON | _CAPITAL):
                 # common words: only if a word beside them speaks for a name, or they follow a bracket or dash or fill a line
-                if not (i and lows[i - 1] in name_cues or j < n and lows[j] in _NAME_AFTER):
+                if not (i and codes[i - 1] & _CUE or j < n and codes[j] & _NEXT):
+                    if not apart:
+                        continue
                     left = left or text[max(0, tokens[i][0] - 4) : tokens[i][0]].rstrip(" \xa0")[-1:] or "\n"
                     if left not in _DASHES and (left != "\n" or text[tokens[j - 1][1] : tokens[j - 1][1] + 1] not in ("", "\n")):
                         continue
             gaps = [text[tokens[k][1] : tokens[k + 1][0]] for k in range(i, j - 1)]
-            if any(g != " " and (not (m := _NAME_GAP.fullmatch(g)) or (m[1] == "." and kinds[i + k] != "i")) for k, g in enumerate(gaps)):
+            if any(g != " " and (not (m := _NAME_GAP.fullmatch(g)) or (m[1] == "." and not codes[i + k] & _INITIAL)) for k, g in enumerate(gaps)):
                 break
-            shape = "".join(k + ("," if "," in g else "") for k, g in zip(kinds[i:], gaps)) + kinds[j - 1]
-            form = {"ww": 0, "iw": 1, "wiw": 2, "w,w": 3, "w,i": 4, "w,wi": 5, "iiw": 6, "w,ii": 7, "www": 8}.get(shape)
+            kinds = ["i" if c & _INITIAL else "w" for c in codes[i:j]]
+            shape = "".join(k + ("," if "," in g else "") for k, g in zip(kinds, gaps)) + kinds[-1]
+            form = _SHAPES.get(shape)
             if form is not None:
                 out.append(Span("name", tokens[i][0], tokens[j - 1][1] + (shape[-1] == "i"), form))
     return out
@@ -227,16 +300,17 @@ def propose(text: str, words: Words) -> list[Span]:
     if "@" in text or "at" in low and ("dot" in low or "(at" in low or "[at" in low or "{at" in low):
         for k, p in enumerate(_EMAILS):
             out += [Span("email", *m.span(), k) for m in p.finditer(text)]
-    if _DENSE.search(text):
+    digit = _DIGIT.search(text) is not None
+    if digit and _DENSE.search(text):
         for k, p in enumerate(_PHONES):
             if k != 6:
                 out += [Span("phone", *m.span(), k) for m in p.finditer(text)]
         for k, p in enumerate(_IDS):
             out += [Span("id_number", *m.span(), k) for m in p.finditer(text)]
-    if len(_DIGIT_WORD.findall(low)) > 6:
+    if sum(map(low.count, _DIGIT_WORDS)) > 6 and len(_DIGIT_WORD.findall(low)) > 6:
         out += [Span("phone", *m.span(), 6) for m in _PHONES[6].finditer(text)]
     for k, hints in enumerate(_HINTS):
-        if any(h in low for h in hints):
+        if digit and (_SPACED if k else _NUMBERED).search(text) and any(h in low for h in hints):
             for m in _ADDRESSES[k].finditer(text):
                 out += [Span("address", m.start(), e, k) for e in _address_ends(text, m.end(), m.start(), words)]
     return out + names(text, words)
@@ -245,6 +319,11 @@ def propose(text: str, words: Words) -> list[Span]:
 #: Six digits close together: without them there is no number to judge.
 _DENSE = re.compile(r"\d(?:[-. ()/‐-―]{0,2}\d){5}")
 _DIGIT_WORD = re.compile(rf"\b(?:{DIGIT_WORDS})\b")
+_DIGIT_WORDS = DIGIT_WORDS.split("|")
+#: Every phone number in digits, id number and address has a digit: the first kind of address before its street, the others after a blank.
+_DIGIT = re.compile(r"\d")
+_NUMBERED = re.compile(rf"\d(?i:[A-Za-z]?,?[ ]+(?:{_W}[ ]+){{1,3}}?(?:{STREETS})\b)")
+_SPACED = re.compile(r" \d")
 #: What a text must hold for each address pattern to be tried; the kinds of streets follow a word.
 _HINTS = [[f" {w}" for w in STREETS.split("|")], ["rue ", "via ", "calle ", "rua ", "avenue ", "place "], ["weg ", "strasse ", "straße ", "gasse ", "allee ", "platz ", "straat ", "laan "], [" box "]]
 
